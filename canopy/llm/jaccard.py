@@ -67,14 +67,29 @@ def prefix_length(n: int, num: int) -> int:
 
 
 def groups_for(n: int) -> int:
-    """Groups of a document's count vector: a power of two near a quarter of its shingles, 32 to 1024."""
-    return 1 << int(np.clip(int(n // 4).bit_length(), 5, 10))
+    """Groups of a document's count vector: a power of two near its number of shingles, 32 to 2048."""
+    return 1 << int(np.clip(round(float(np.log2(max(n, 1)))), 5, 11))
 
 
 def count_vector(shingles: np.ndarray, n: int) -> bytes:
-    """Shingles in each group, a byte each; 255 stands for 255 or more."""
+    """Shingles in each group: half a byte each after a 0, or a byte after a 1; the largest value stands for that or more."""
     g = groups_for(n)
-    return np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g), 255).astype(np.uint8).tobytes()
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+    if n > 2 * g:
+        return b"\1" + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    half = np.minimum(counts, 15).astype(np.uint8)
+    return b"\0" + (half[0::2] | (half[1::2] << 4)).tobytes()
+
+
+def unpack(vector: bytes) -> np.ndarray:
+    """The counts of a vector as one row; 255 stands for any larger count."""
+    raw = np.frombuffer(vector, np.uint8)[1:]
+    if vector[0]:
+        return raw[None]
+    out = np.empty((1, 2 * len(raw)), np.uint8)
+    out[0, 0::2], out[0, 1::2] = raw & 15, raw >> 4
+    out[out == 15] = 255
+    return out
 
 
 def shingle_sets(column: pa.Array, c: JaccardConfig) -> Iterator[np.ndarray]:
@@ -246,9 +261,9 @@ class CountTree:
 
     def __init__(self, vectors: list[bytes], n: np.ndarray, num: int, leaf: int):
         self.n, self.num = n, num
-        g = min(len(v) for v in vectors)
-        raw = [fold(np.frombuffer(v, np.uint8)[None], g)[0] for v in vectors]
-        self.points = np.stack(raw)
+        rows = [unpack(v) for v in vectors]
+        g = min(r.shape[1] for r in rows)
+        self.points = np.concatenate([fold(r, g) for r in rows])
         # Sort-tile: by size, then by the heaviest quarter of the groups within slabs of like size.
         slab = np.arange(len(n))[np.argsort(n, kind="stable")]
         tiles = []
@@ -291,11 +306,15 @@ def _bucket_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.n
         k = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * c.num)
         if two:
             k &= block[i] != block[j]
-        for a, b in zip(i[k].tolist(), j[k].tolist(), strict=True):
-            va, vb = (np.frombuffer(vectors[x], np.uint8)[None] for x in (a, b))
-            g = min(va.shape[1], vb.shape[1])
-            if overlap_bounds(fold(va, g), fold(vb, g), n[a : a + 1], n[b : b + 1])[0] >= needed_overlap(n[a] + n[b], c.num):
-                yield int(node[a]), int(node[b])
+        i, j = i[k], j[k]
+        if not len(i):
+            return
+        rows = {x: unpack(vectors[x]) for x in np.unique(np.r_[i, j]).tolist()}
+        g = min(r.shape[1] for r in rows.values())
+        folded = {x: fold(r, g) for x, r in rows.items()}
+        va, vb = (np.concatenate([folded[x] for x in side.tolist()]) for side in (i, j))
+        k = overlap_bounds(va, vb, n[i], n[j]) >= needed_overlap(n[i] + n[j], c.num)
+        yield from zip(node[i[k]].tolist(), node[j[k]].tolist(), strict=True)
         return
     tree = CountTree(vectors, n, c.num, c.leaf)
     for i in range(len(node)):
@@ -407,10 +426,10 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
                 na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
                 va, vb = (batch.column(k).to_pylist() for k in ("va", "vb"))
                 keep = np.zeros(len(na), bool)
-                g = np.array([min(len(p), len(q)) for p, q in zip(va, vb, strict=True)])
+                g = np.minimum([groups_for(x) for x in na.tolist()], [groups_for(x) for x in nb.tolist()])
                 for size in np.unique(g):
                     at = np.flatnonzero(g == size)
-                    p, q = (np.concatenate([fold(np.frombuffer(v[i], np.uint8)[None], size) for i in at]) for v in (va, vb))
+                    p, q = (np.concatenate([fold(unpack(v[i]), size) for i in at]) for v in (va, vb))
                     keep[at] = overlap_bounds(p, q, na[at], nb[at]) >= needed_overlap(na[at] + nb[at], c.num)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
@@ -427,8 +446,10 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
     def mixed() -> DataFrame:
         """Rows of buckets whose documents lie in several components."""
         own = materialise(buckets.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-        several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.max(F.struct("n", "node", "root")).alias("_last")).filter("_lo <> _hi")
-        return own.join(materialise(several.select("shingle", "_rows", "_last"), "mixed"), "shingle")
+        several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.max(F.struct("n", "node", "root")).alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.min("node").alias("_least")).filter("_lo <> _hi")
+        # A passage routes the same documents under each of its shingles: one bucket of such is enough.
+        one = several.groupBy("_rows", "_sum", "_least", "_last").agg(F.min("shingle").alias("shingle"))
+        return own.join(materialise(one.select("shingle", "_rows", "_last"), "mixed"), "shingle")
 
     for _ in range(c.pivot_rounds - 1):
         # Another pivot, the largest, for what the smallest didn't join.
