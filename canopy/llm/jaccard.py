@@ -67,8 +67,8 @@ def prefix_length(n: int, num: int) -> int:
 
 
 def groups_for(n: int) -> int:
-    """Groups of a document's count vector: a power of two near its number of shingles, 32 to 2048."""
-    return 1 << int(np.clip(round(float(np.log2(max(n, 1)))), 5, 11))
+    """Groups of a document's count vector: a power of two near its number of shingles, 32 to 16384."""
+    return 1 << int(np.clip(round(float(np.log2(max(n, 1)))), 5, 14))
 
 
 def count_vector(shingles: np.ndarray, n: int) -> bytes:
@@ -324,7 +324,10 @@ def _bucket_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.n
 
 
 def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
-    """(shingle, lo, hi, block, node, n, root, vector) -> candidate pairs (a, b)."""
+    """(home, shingle, lo, hi, block, node, n, root, vector) -> candidate pairs (a, b).
+
+    Buckets with one home meet in a task, which gives out each pair once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -363,8 +366,8 @@ def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
         if held:
             yield flush(held)
 
-    keys = ["shingle", "lo", "hi"]
-    return rows.select(*keys, "block", "node", "n", "root", "vector").repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(run, "a long, b long").distinct()
+    keys = ["home", "lo", "hi"]
+    return rows.select("shingle", "lo", "hi", "block", "node", "n", "root", "vector", "home").repartition(*keys).sortWithinPartitions(*keys, "shingle", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
@@ -445,11 +448,13 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
 
     def mixed() -> DataFrame:
         """Rows of buckets whose documents lie in several components."""
-        own = materialise(buckets.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-        several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.max(F.struct("n", "node", "root")).alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.min("node").alias("_least")).filter("_lo <> _hi")
+        sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("weight")), "root")
+        own = buckets.select("shingle", "node", "n").join(sized, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        own = materialise(own, "rooted")
+        several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.max(F.struct("n", "node", "root")).alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.min("node").alias("_least"), F.max(F.struct("weight", "root")).alias("_home")).filter("_lo <> _hi")
         # A passage routes the same documents under each of its shingles: one bucket of such is enough.
-        one = several.groupBy("_rows", "_sum", "_least", "_last").agg(F.min("shingle").alias("shingle"))
-        return own.join(materialise(one.select("shingle", "_rows", "_last"), "mixed"), "shingle")
+        one = several.groupBy("_rows", "_sum", "_least", "_last", F.col("_home.root").alias("home")).agg(F.min("shingle").alias("shingle"))
+        return own.join(materialise(one.select("shingle", "_rows", "_last", "home"), "mixed"), "shingle")
 
     for _ in range(c.pivot_rounds - 1):
         # Another pivot, the largest, for what the smallest didn't join.
@@ -462,7 +467,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
     blocks = F.ceil(F.col("_rows") / c.block_rows).cast("long")
     rest = rest.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    rest = rest.select("shingle", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "node", "n", "root")
+    rest = rest.select("home", "shingle", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "node", "n", "root")
     found = _search_buckets(rest.join(sets.select("node", "vector"), "node"), c)
     links = links.unionAll(verified(found))
     roots = connected_components(links)
