@@ -48,8 +48,10 @@ class JaccardConfig:
     single_weight: int = 32
     #: Rows of a frequent shingle that one task meets before its bucket is salted.
     salt_rows: int = 200_000
-    #: Documents in one block of a bucket's search.
-    block_rows: int = 4096
+    #: Rows of a home's buckets in one block of their search.
+    block_rows: int = 16_384
+    #: Documents in one block of the verification: a task holds the sets of two at a time.
+    verify_block: int = 32
     #: Entries in a leaf of the R-tree.
     leaf: int = 32
     #: Candidate ids that may be broadcast (8 bytes each); beyond, they are joined by shuffling.
@@ -336,7 +338,7 @@ def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
         def flush(part: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(part)
             key = np.stack([t.column(k).to_numpy() for k in ("shingle", "lo", "hi")])
-            node, n, root, block = (t.column(k).to_numpy() for k in ("node", "n", "root", "block"))
+            node, n, root, block, home = (t.column(k).to_numpy() for k in ("node", "n", "root", "block", "home"))
             vectors = t.column("vector").to_pylist()
             edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
             new = []
@@ -346,8 +348,8 @@ def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
                     if pair not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(pair)
-                        new.append(pair)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+                        new.append((*pair, home[i]))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in range(3)], names=["a", "b", "home"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -367,23 +369,44 @@ def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
             yield flush(held)
 
     keys = ["home", "lo", "hi"]
-    return rows.select("shingle", "lo", "hi", "block", "node", "n", "root", "vector", "home").repartition(*keys).sortWithinPartitions(*keys, "shingle", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("shingle", "lo", "hi", "block", "node", "n", "root", "vector", "home").repartition(*keys).sortWithinPartitions(*keys, "shingle", "n", "node").mapInArrow(run, "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
+    """The pairs of (a, b, home) whose whole texts link.
+
+    Sets of one home lie in blocks of about ``verify_block``; a text is sent once to
+    each pair of blocks that needs it, not once a pair.
+    """
+    ends = pairs.select(F.col("a").alias("node"), "home").unionAll(pairs.select(F.col("b").alias("node"), "home")).groupBy("node").agg(F.min("home").alias("home"))
+    sizes = ends.groupBy("home").agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / c.verify_block).cast("long"))
+    blocks = materialise(ends.join(sizes, "home").select("node", F.xxhash64("home", part).alias("block")), "blocks")
+    placed = pairs.select("a", "b").join(blocks.toDF("a", "_x"), "a").join(blocks.toDF("b", "_y"), "b").select("a", "b", F.least("_x", "_y").alias("lo"), F.greatest("_x", "_y").alias("hi"))
+    placed = materialise(placed, "placed")
+    wanted = placed.select("lo", "hi", F.col("a").alias("node")).unionAll(placed.select("lo", "hi", F.col("b").alias("node"))).distinct()
+    rows = wanted.join(texts, "node").select("lo", "hi", "node", F.lit(None).cast("long").alias("other"), "text")
+    rows = rows.unionAll(placed.select("lo", "hi", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            linked = []
-            for x, y in zip(shingle_sets(batch.column(2), c), shingle_sets(batch.column(3), c), strict=True):
+            linked: list[tuple[int, int]] = []
+            columns = (batch.column(k).to_pylist() for k in range(4))
+            for lo, hi, node, other, own in zip(*columns, shingle_sets(batch.column(4), c), strict=True):
+                if at != (lo, hi):
+                    at, held = (lo, hi), {}
+                if other is None:
+                    held[node] = own
+                    continue
+                x, y = held[node], held[other]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= c.num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                if 100 * both >= c.num * (len(x) + len(y) - both):
+                    linked.append((node, other))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in linked], pa.int64()), pa.array([p[1] for p in linked], pa.int64())], names=["a", "b"])
 
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("other").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
@@ -405,7 +428,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(node, text) of the sets in pairs."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         ids = materialise(nodes.join(sets.select("node", "rep"), "node"), "wanted")
         small = ids.limit(c.broadcast_ids + 1).count() <= c.broadcast_ids
         wanted = ids.select("node", F.col("rep").alias("_rep"))
@@ -434,15 +457,15 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
                     at = np.flatnonzero(g == size)
                     p, q = (np.concatenate([fold(unpack(v[i]), size) for i in at]) for v in (va, vb))
                     keep[at] = overlap_bounds(p, q, na[at], nb[at]) >= needed_overlap(na[at] + nb[at], c.num)
-                yield batch.select([0, 1]).filter(pa.array(keep))
+                yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "home", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long, home long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
         return materialise(_verify(pairs, texts_of(pairs), c), "links")
 
-    first = buckets.filter((F.col("node") != F.col("pivot")) & _size_fits("n", "pivot_n", c.num)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    first = buckets.filter((F.col("node") != F.col("pivot")) & _size_fits("n", "pivot_n", c.num)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().withColumn("home", F.col("a"))
     links = verified(bounded(first))
     roots = connected_components(links)
 
@@ -454,17 +477,18 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
         several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.max(F.struct("n", "node", "root")).alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.min("node").alias("_least"), F.max(F.struct("weight", "root")).alias("_home")).filter("_lo <> _hi")
         # A passage routes the same documents under each of its shingles: one bucket of such is enough.
         one = several.groupBy("_rows", "_sum", "_least", "_last", F.col("_home.root").alias("home")).agg(F.min("shingle").alias("shingle"))
-        return own.join(materialise(one.select("shingle", "_rows", "_last", "home"), "mixed"), "shingle")
+        one = one.join(one.groupBy("home").agg(F.sum("_rows").alias("_all")), "home")
+        return own.join(materialise(one.select("shingle", "_all", "_last", "home"), "mixed"), "shingle")
 
     for _ in range(c.pivot_rounds - 1):
         # Another pivot, the largest, for what the smallest didn't join.
         rest = mixed().filter(F.col("root") != F.col("_last.root")).withColumn("_last_n", F.col("_last.n"))
-        again = rest.filter(_size_fits("n", "_last_n", c.num)).select(F.least("node", "_last.node").alias("a"), F.greatest("node", "_last.node").alias("b")).distinct()
+        again = rest.filter(_size_fits("n", "_last_n", c.num)).select(F.least("node", "_last.node").alias("a"), F.greatest("node", "_last.node").alias("b"), F.col("_last.node").alias("home")).groupBy("a", "b").agg(F.min("home").alias("home"))
         links = links.unionAll(verified(bounded(again)))
         roots = connected_components(links)
 
     rest = mixed()
-    blocks = F.ceil(F.col("_rows") / c.block_rows).cast("long")
+    blocks = F.ceil(F.col("_all") / c.block_rows).cast("long")
     rest = rest.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     rest = rest.select("home", "shingle", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "node", "n", "root")
