@@ -134,7 +134,7 @@ def _describe(docs: DataFrame, c: JaccardConfig) -> DataFrame:
                 held.append(x)
                 size += len(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(vectors, pa.binary())], names=names)
-            if size >= 1 << 22:
+            if size >= 1 << 21:
                 yield counts()
                 held, size = [], 0
         if size:
@@ -261,11 +261,8 @@ def fold(vectors: np.ndarray, g: int) -> np.ndarray:
 class CountTree:
     """An R-tree over count vectors of one bucket: leaves of like documents, nodes with their largest counts."""
 
-    def __init__(self, vectors: list[bytes], n: np.ndarray, num: int, leaf: int):
-        self.n, self.num = n, num
-        rows = [unpack(v) for v in vectors]
-        g = min(r.shape[1] for r in rows)
-        self.points = np.concatenate([fold(r, g) for r in rows])
+    def __init__(self, points: np.ndarray, n: np.ndarray, num: int, leaf: int):
+        self.points, self.n, self.num = points, n, num
         # Sort-tile: by size, then by the heaviest quarter of the groups within slabs of like size.
         slab = np.arange(len(n))[np.argsort(n, kind="stable")]
         tiles = []
@@ -303,26 +300,30 @@ class CountTree:
 def _bucket_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, vectors: list[bytes], c: JaccardConfig) -> Iterator[tuple[int, int]]:
     """Pairs of a bucket's documents in different components whose overlap may suffice; across blocks where it has two."""
     two = block.min() != block.max()
+    rows = [unpack(v) for v in vectors]
+    groups = np.array([r.shape[1] for r in rows])
     if len(node) <= c.leaf:
         i, j = np.triu_indices(len(node), 1)
         k = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * c.num)
         if two:
             k &= block[i] != block[j]
         i, j = i[k], j[k]
-        if not len(i):
-            return
-        rows = {x: unpack(vectors[x]) for x in np.unique(np.r_[i, j]).tolist()}
-        g = min(r.shape[1] for r in rows.values())
-        folded = {x: fold(r, g) for x, r in rows.items()}
-        va, vb = (np.concatenate([folded[x] for x in side.tolist()]) for side in (i, j))
-        k = overlap_bounds(va, vb, n[i], n[j]) >= needed_overlap(n[i] + n[j], c.num)
-        yield from zip(node[i[k]].tolist(), node[j[k]].tolist(), strict=True)
+        least = np.minimum(groups[i], groups[j])
+        for g in np.unique(least):
+            p, q = i[least == g], j[least == g]
+            va, vb = (np.concatenate([fold(rows[x], g) for x in side.tolist()]) for side in (p, q))
+            k = overlap_bounds(va, vb, n[p], n[q]) >= needed_overlap(n[p] + n[q], c.num)
+            yield from zip(node[p[k]].tolist(), node[q[k]].tolist(), strict=True)
         return
-    tree = CountTree(vectors, n, c.num, c.leaf)
-    for i in range(len(node)):
-        for j in tree.search(i).tolist():
-            if j > i and root[i] != root[j] and (not two or block[i] != block[j]):
-                yield int(node[i]), int(node[j])
+    # Sets that may link differ in groups by a factor of two at most: one tree for each number of groups, with the next.
+    for g in np.unique(groups):
+        inside = np.flatnonzero((groups == g) | (groups == 2 * g))
+        tree = CountTree(np.concatenate([fold(rows[x], g) for x in inside.tolist()]), n[inside], c.num, c.leaf)
+        for at in np.flatnonzero(groups[inside] == g).tolist():
+            i = inside[at]
+            for j in inside[tree.search(at)].tolist():
+                if (j > i or groups[j] != g) and root[i] != root[j] and (not two or block[i] != block[j]):
+                    yield int(node[i]), int(node[j])
 
 
 def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
