@@ -16,9 +16,9 @@ from canopy.llm.common import ship_code
 from canopy.llm.pretoken import pieces
 
 #: Texts pre-tokenised at once hold about so many characters; a longer text goes by itself.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Pieces whose ids a worker keeps; others are merged anew each time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: From this many bytes a piece is merged with a heap instead of by rescanning.
 LONG_PIECE = 48
 NO_PAIR = (1 << 31) - 1
@@ -235,11 +235,11 @@ def codec(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Each batch with the ids of its rows' texts."""
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Each batch with the ids of its rows' texts, made as they are read."""
     bpe = codec(path)
     for batch in batches:
-        yield batch, list(bpe.encode(batch.column(text).to_pylist()))
+        yield batch, bpe.encode(batch.column(text).to_pylist())
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -255,7 +255,8 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch, ids in encode_batches(batches, path, text):
+        for batch, found in encode_batches(batches, path, text):
+            ids = list(found)
             offsets = [bpe.offsets(x) for x in ids]
             columns = [batch.column(c) for c in keep] + [_lists(ids), _lists(offsets)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "offsets"])

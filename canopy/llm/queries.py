@@ -26,11 +26,14 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(path)
-        for batch, ids in bpe.encode_batches(batches, path, "text"):
-            lists = [x.tolist() for x in ids]
-            decoded = [hashlib.sha256(codec.decode(x)).hexdigest() for x in lists]
-            joined = [hashlib.sha256(" ".join(map(codec.decimals.__getitem__, x)).encode()).hexdigest() for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(joined), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch, found in bpe.encode_batches(batches, path, "text"):
+            n, joined, decoded = [], [], []
+            for ids in found:  # one text at a time: lists of ids are large
+                own = ids.tolist()
+                n.append(len(own))
+                joined.append(hashlib.sha256(" ".join(map(codec.decimals.__getitem__, own)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(own)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
