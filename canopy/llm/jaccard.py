@@ -326,51 +326,65 @@ def _bucket_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.n
                     yield int(node[i]), int(node[j])
 
 
-def _search_buckets(rows: DataFrame, c: JaccardConfig) -> DataFrame:
-    """(home, shingle, lo, hi, block, node, n, root, vector) -> candidate pairs (a, b).
+def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataFrame:
+    """(home, shingle, lo, hi, block, node, n, root) -> candidate pairs (a, b, home).
 
-    Buckets with one home meet in a task, which gives out each pair once.
+    Buckets with one home meet in a task, which gets each document's count vector
+    once and gives out each pair once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        held: list[pa.RecordBatch] = []
-
-        def flush(part: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(part)
-            key = np.stack([t.column(k).to_numpy() for k in ("shingle", "lo", "hi")])
-            node, n, root, block, home = (t.column(k).to_numpy() for k in ("node", "n", "root", "block", "home"))
-            vectors = t.column("vector").to_pylist()
-            edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
-            new = []
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                for a, b in _bucket_pairs(node[i:j], n[i:j], root[i:j], block[i:j], vectors[i:j], c):
+        vectors: dict[int, bytes] = {}
+        at: tuple[int, ...] | None = None
+        bucket: tuple | None = None
+        held: list[list[np.ndarray]] = []
+        found: list[tuple[int, int, int]] = []
+
+        def search() -> None:
+            """The open bucket, now that it is whole."""
+            if held:
+                node, n, root, block = (np.concatenate(x) for x in zip(*held, strict=True))
+                for a, b in _bucket_pairs(node, n, root, block, [vectors[x] for x in node.tolist()], c):
                     pair = (min(a, b), max(a, b))
                     if pair not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(pair)
-                        new.append((*pair, home[i]))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in range(3)], names=["a", "b", "home"])
+                        found.append((*pair, at[0]))
+                held.clear()
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Whole buckets are searched; the last one of a batch may go on in the next.
-            key = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)])
-            edge = np.flatnonzero(np.r_[False, (key[:, 1:] != key[:, :-1]).any(0)])
-            if held and (key[:, 0] != np.array([held[-1].column(k)[-1].as_py() for k in (0, 1, 2)])).any():
-                yield flush(held)
-                held = []
-            if len(edge):
-                yield flush([*held, batch.slice(0, int(edge[-1]))])
-                held = [batch.slice(int(edge[-1]))]
-            else:
-                held.append(batch)
-        if held:
-            yield flush(held)
-
-    keys = ["home", "lo", "hi"]
-    return rows.select("shingle", "lo", "hi", "block", "node", "n", "root", "vector", "home").repartition(*keys).sortWithinPartitions(*keys, "shingle", "n", "node").mapInArrow(run, "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home"))
+            key = [batch.column(k).to_numpy() for k in range(3)]
+            vector_row = np.array(batch.column(3).is_null())
+            shingle = batch.column(3).fill_null(0).to_numpy()
+            rest = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4, 8)]
+            edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in (*key, vector_row, shingle)], axis=0)) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+                if i == j:
+                    continue
+                here = tuple(int(x[i]) for x in key)
+                own = (here, bool(vector_row[i]), int(shingle[i]))
+                if own != bucket:
+                    search()
+                    bucket = own
+                if here != at:
+                    at, vectors = here, {}
+                if vector_row[i]:
+                    vectors.update(zip(rest[0][i:j].tolist(), batch.column(8).slice(i, j - i).to_pylist(), strict=True))
+                else:
+                    held.append([x[i:j] for x in rest])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "home"])
+            found.clear()
+        search()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "home"])
+
+    keys, none = ["home", "lo", "hi"], F.lit(None).cast("long")
+    members = rows.select(*keys, "node").distinct().join(sets.select("node", "vector"), "node")
+    zero = F.lit(0).cast("long")
+    members = members.select(*keys, none.alias("shingle"), "node", zero.alias("n"), zero.alias("root"), zero.alias("block"), "vector")
+    both = members.unionAll(rows.select(*keys, "shingle", "node", "n", "root", "block", F.lit(None).cast("binary").alias("vector")))
+    pairs = both.repartition(*keys).sortWithinPartitions(*keys, F.col("shingle").asc_nulls_first(), "n", "node").mapInArrow(run, "a long, b long, home long")
+    return pairs.groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
@@ -470,31 +484,32 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
     links = verified(bounded(first))
     roots = connected_components(links)
 
-    def mixed() -> DataFrame:
-        """Rows of buckets whose documents lie in several components."""
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows (shingle, node, n) of buckets whose documents lie in several components, with what places their search."""
         sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("weight")), "root")
-        own = buckets.select("shingle", "node", "n").join(sized, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        own = rows.select("shingle", "node", "n").join(sized, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
         own = materialise(own, "rooted")
-        several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.max(F.struct("n", "node", "root")).alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.min("node").alias("_least"), F.max(F.struct("weight", "root")).alias("_home")).filter("_lo <> _hi")
+        several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.max(F.struct("weight", "root")).alias("_home"))
         # A passage routes the same documents under each of its shingles: one bucket of such is enough.
-        one = several.groupBy("_rows", "_sum", "_least", "_last", F.col("_home.root").alias("home")).agg(F.min("shingle").alias("shingle"))
-        one = one.join(one.groupBy("home").agg(F.sum("_rows").alias("_all")), "home")
-        return own.join(materialise(one.select("shingle", "_all", "_last", "home"), "mixed"), "shingle")
+        one = several.filter("_lo <> _hi").groupBy("_rows", "_sum", "_lo", "_hi", F.col("_home.root").alias("home")).agg(F.min("shingle").alias("shingle"))
+        one = materialise(one.select("shingle", "_rows", "home"), "mixed")
+        one = one.join(one.groupBy("home").agg(F.sum("_rows").alias("_all")), "home").select("shingle", "home", "_all")
+        return materialise(own.join(one, "shingle"), "mixed")
 
+    rest = mixed(buckets)
     for _ in range(c.pivot_rounds - 1):
         # Another pivot, the largest, for what the smallest didn't join.
-        rest = mixed().filter(F.col("root") != F.col("_last.root")).withColumn("_last_n", F.col("_last.n"))
-        again = rest.filter(_size_fits("n", "_last_n", c.num)).select(F.least("node", "_last.node").alias("a"), F.greatest("node", "_last.node").alias("b"), F.col("_last.node").alias("home")).groupBy("a", "b").agg(F.min("home").alias("home"))
-        links = links.unionAll(verified(bounded(again)))
+        last = materialise(rest.groupBy("shingle").agg(F.max(F.struct("n", "node", "root")).alias("_last")), "pivots")
+        again = rest.join(last, "shingle").filter(F.col("root") != F.col("_last.root")).withColumn("_last_n", F.col("_last.n"))
+        again = again.filter(_size_fits("n", "_last_n", c.num)).select(F.least("node", "_last.node").alias("a"), F.greatest("node", "_last.node").alias("b"), F.col("_last.node").alias("home"))
+        links = links.unionAll(verified(bounded(again.groupBy("a", "b").agg(F.min("home").alias("home")))))
         roots = connected_components(links)
+        rest = mixed(rest)
 
-    rest = mixed()
-    blocks = F.ceil(F.col("_all") / c.block_rows).cast("long")
-    rest = rest.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks"))
+    rest = rest.withColumn("_blocks", F.ceil(F.col("_all") / c.block_rows).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     rest = rest.select("home", "shingle", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "node", "n", "root")
-    found = _search_buckets(rest.join(sets.select("node", "vector"), "node"), c)
-    links = links.unionAll(verified(found))
+    links = links.unionAll(verified(_search_buckets(rest, sets, c)))
     roots = connected_components(links)
 
     named = sets.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
