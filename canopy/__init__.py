@@ -1,0 +1 @@
+"""Merger-forest analytics on Spark: sources, evolution, physics modules and catalogue queries as DataFrame plans."""
