@@ -40,7 +40,7 @@ class AudioConfig:
     shape: int = 16
     #: A segment opens above ``high`` and closes below ``low``, in decibels against the median frame.
     high: float = 1.0
-    low: float = -1.0
+    low: float = 0.25
     #: Frames computed at once, which bounds memory whatever the length.
     block: int = 4096
 
