@@ -498,8 +498,8 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
 
     rest = mixed(buckets)
     for _ in range(c.pivot_rounds - 1):
-        # Another pivot, the largest, for what the smallest didn't join.
-        last = materialise(rest.groupBy("shingle").agg(F.max(F.struct("n", "node", "root")).alias("_last")), "pivots")
+        # Another pivot for what the smallest didn't join: of the bucket's largest component, the one of the largest key.
+        last = materialise(rest.groupBy("shingle").agg(F.max(F.struct("weight", "root", "node", "n")).alias("_last")), "pivots")
         again = rest.join(last, "shingle").filter(F.col("root") != F.col("_last.root")).withColumn("_last_n", F.col("_last.n"))
         again = again.filter(_size_fits("n", "_last_n", c.num)).select(F.least("node", "_last.node").alias("a"), F.greatest("node", "_last.node").alias("b"), F.col("_last.node").alias("home"))
         links = links.unionAll(verified(bounded(again.groupBy("a", "b").agg(F.min("home").alias("home")))))
