@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopy.operators import quality
 from canopy.operators.histogram import fixed_histogram
-from canopy.plans.registry import ORACLES, QUERIES
+from canopy.plans.forest_queries import ORACLES, QUERIES
 from canopy.schema import Property, output_schema
 from canopy.streaming import running_histogram
 
