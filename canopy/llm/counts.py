@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.bpe import encode_batches
-from canopy.llm.common import ship_code
+from canopy.llm.common import materialise, ship_code
 
 #: Lengths summed in one task.
 STRETCH = 1024
@@ -32,10 +32,12 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     n_tokens, n_docs; docs_at_least and tokens_at_least (documents of this length
     or more, and their tokens); total_tokens; truncated_tokens (what is left when
     each document is cut at n_tokens); share_at_most (of documents, for quantiles).
-    Documents are aggregated before any shuffle; sums run in two steps, over
-    stretches of lengths and within each.  An empty table gives no rows.
+    Documents are aggregated before any shuffle and the counts, a row for each
+    length, are stored: both branches of the sums read them, so texts are encoded
+    once.  Sums run in two steps, over stretches of lengths and within each.  An
+    empty table gives no rows.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = materialise(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     counts = counts.withColumn("_stretch", F.floor(F.col("n_tokens") / STRETCH).cast("long")).withColumn("_t", F.col("n_tokens") * F.col("n_docs"))
     inner = Window.partitionBy("_stretch").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     outer = Window.orderBy(F.col("_stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
