@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canopy.llm.common import ship_code
+from canopy.llm.common import lean, ship_code
 from canopy.llm.pretoken import pieces
 
 #: Texts pre-tokenised at once hold about so many characters; a longer text goes by itself.
@@ -261,7 +261,7 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[st
             columns = [batch.column(c) for c in keep] + [_lists(ids), _lists(offsets)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "offsets"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode_documents(df: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
@@ -276,7 +276,7 @@ def decode_documents(df: DataFrame, path: str, keep: list[str] | None = None) ->
             texts = [None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return df.select(*keep, "ids").mapInArrow(run, schema)
+    return df.select(*keep, "ids").mapInArrow(lean(run), schema)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:

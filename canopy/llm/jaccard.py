@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import words
-from canopy.llm.common import materialise, ship_code
+from canopy.llm.common import lean, materialise, ship_code
 from canopy.llm.components import connected_components
 
 
@@ -140,7 +140,7 @@ def _describe(docs: DataFrame, c: JaccardConfig) -> DataFrame:
         if size:
             yield counts()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, id long, node long, n long, vector binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "kind byte, id long, node long, n long, vector binary")
 
 
 def _frequent(counted: DataFrame, c: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def _route(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], c: JaccardC
                 salt = np.where(of > 1, (words.mix64(node.view(np.uint64)) % of.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(node), pa.array(np.repeat(np.array(ns, np.int64), times))], names=["shingle", "salt", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, salt int, node long, n long")
+    return docs.select("text").mapInArrow(lean(run), "shingle long, salt int, node long, n long")
 
 
 def _shared_buckets(routed: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _shared_buckets(routed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (s, node, n, p, pn)], names=names)
 
     rows = routed.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
-    return rows.mapInArrow(run, "shingle long, node long, n long, pivot long, pivot_n long")
+    return rows.mapInArrow(lean(run), "shingle long, node long, n long, pivot long, pivot_n long")
 
 
 def _size_fits(a: str, b: str, num: int) -> Column:
@@ -383,7 +383,7 @@ def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataF
     zero = F.lit(0).cast("long")
     members = members.select(*keys, none.alias("shingle"), "node", zero.alias("n"), zero.alias("root"), zero.alias("block"), "vector")
     both = members.unionAll(rows.select(*keys, "shingle", "node", "n", "root", "block", F.lit(None).cast("binary").alias("vector")))
-    pairs = both.repartition(*keys).sortWithinPartitions(*keys, F.col("shingle").asc_nulls_first(), "n", "node").mapInArrow(run, "a long, b long, home long")
+    pairs = both.repartition(*keys).sortWithinPartitions(*keys, F.col("shingle").asc_nulls_first(), "n", "node").mapInArrow(lean(run), "a long, b long, home long")
     return pairs.groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
@@ -421,7 +421,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
                     linked.append((node, other))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in linked], pa.int64()), pa.array([p[1] for p in linked], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("other").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("other").asc_nulls_first()).mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
@@ -455,7 +455,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
                 keys = [set_key(x) for x in shingle_sets(batch.column(1), c)]
                 yield batch.filter(pa.array(batch.column(0).to_numpy() == np.array(keys, np.int64)))
 
-        return found.mapInArrow(own, "node long, text string").dropDuplicates(["node"])
+        return found.mapInArrow(lean(own), "node long, text string").dropDuplicates(["node"])
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """The pairs whose count vectors allow a link."""
@@ -474,7 +474,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
                     keep[at] = overlap_bounds(p, q, na[at], nb[at]) >= needed_overlap(na[at] + nb[at], c.num)
                 yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "home", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long, home long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "home", "na", "va", "nb", "vb").mapInArrow(lean(run), "a long, b long, home long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")

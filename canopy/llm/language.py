@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import free_name, ship_code
+from canopy.llm.common import free_name, lean, ship_code
 
 UNKNOWN = "und"
 
@@ -94,7 +94,7 @@ def _document_frequencies(docs: DataFrame, c: LanguageConfig) -> np.ndarray:
 
     out = np.zeros(c.features + 1, np.int64)
     # At most one row a feature reaches the driver.
-    for row in docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(lean(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[row["feature"]] = row["n"]
     return out
 
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, config: LanguageConfig | None = None) -> LanguageModel:
             )
 
     centroids, language, radius, known = [], [], [], []
-    rows = sample.mapInArrow(vectors, "lang string, at array<int>, n array<double>").toPandas()
+    rows = sample.mapInArrow(lean(vectors), "lang string, at array<int>, n array<double>").toPandas()
     for lang in names:
         own = rows[rows["lang"] == lang]
         if own.empty:
@@ -196,6 +196,6 @@ def identify(df: DataFrame, model: LanguageModel, keep: list[str] | None = None,
             found = predict_batch(batch.column(read).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_())], names=[*keep, *new])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 

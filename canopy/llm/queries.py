@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm import ann, bpe, counts, jaccard, language, linededup, media, mixing, sharding, toxicity
-from canopy.llm.common import WORD, held_out, materialise, read_table, ship_code
+from canopy.llm.common import WORD, held_out, lean, materialise, read_table, ship_code
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS, SHARD_SEED = 8, 17
@@ -35,7 +35,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(codec.decode(own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
