@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -18,7 +19,9 @@ from canopy.llm.pretoken import pieces
 #: Texts pre-tokenised at once hold about so many characters; a longer text goes by itself.
 CHUNK_CHARS = 1 << 18
 #: Pieces whose ids a worker keeps; others are merged anew each time.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
+#: Rows of a batch whose texts are Python strings at once.
+ROWS = 256
 #: From this many bytes a piece is merged with a heap instead of by rescanning.
 LONG_PIECE = 48
 NO_PAIR = (1 << 31) - 1
@@ -239,7 +242,9 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> I
     """Each batch with the ids of its rows' texts, made as they are read."""
     bpe = codec(path)
     for batch in batches:
-        yield batch, bpe.encode(batch.column(text).to_pylist())
+        column = batch.column(text)
+        slices = (column.slice(k, ROWS).to_pylist() for k in range(0, len(column), ROWS))
+        yield batch, itertools.chain.from_iterable(map(bpe.encode, slices))
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

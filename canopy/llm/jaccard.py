@@ -56,6 +56,8 @@ class JaccardConfig:
     leaf: int = 32
     #: Candidate ids that may be broadcast (8 bytes each); beyond, they are joined by shuffling.
     broadcast_ids: int = 1_000_000
+    #: Pairs that a search task remembers, to give each out once; repeats beyond are merged after the search.
+    seen_pairs: int = 200_000
     pivot_rounds: int = 2
 
 
@@ -348,7 +350,7 @@ def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataF
                 for a, b in _bucket_pairs(node, n, root, block, [vectors[x] for x in node.tolist()], c):
                     pair = (min(a, b), max(a, b))
                     if pair not in seen:
-                        if len(seen) < 1_000_000:
+                        if len(seen) < c.seen_pairs:
                             seen.add(pair)
                         found.append((*pair, at[0]))
                 held.clear()
