@@ -1,11 +1,13 @@
 """Nearest neighbours by adaptive dimension scan over inverted lists.
 
-Vectors lie in the list of their nearest centroid, a list in blocks of bounded
-size.  A query probes the nearest lists.  Within a list all vectors are rotated
-by one random orthogonal matrix and scanned in blocks of columns: after t of d
-dimensions a candidate's partial distance, scaled by d/t, estimates its
-distance; where it exceeds the k-th best distance by more than the test's
-margin, the candidate is abandoned.  What survives is measured exactly.
+Vectors lie in the list of their nearest centroid, and lists in units of bounded
+size.  The k-th best distance of a query within a sample bounds that within all
+vectors, so a query visits every list but those that lie wholly beyond it, by
+the triangle inequality.  All vectors are rotated by one random orthogonal
+matrix and scanned in blocks of columns: after t of d dimensions a candidate's
+partial distance, scaled by d/t, estimates its distance; where it exceeds the
+bound by more than the test's margin, the candidate is abandoned.  What survives
+is measured exactly.
 
 Equal vectors are one class with its smallest ids: a result never needs more of
 them than it has rows, so many copies of a vector cost no more than one.
@@ -33,12 +35,11 @@ class SearchConfig:
     most_lists: int = 4096
     sample: int = 20_000
     rounds: int = 8
-    #: Lists probed: this share of all, and at least so many.
-    probe_share: float = 0.2
-    probe_least: int = 16
-    #: Lists are also probed until they hold so many classes.
-    probe_rows: int = 2000
+    #: Classes of the sample that bound a query's distances.
+    bound_rows: int = 8192
+    #: Classes and queries that one task call meets, about.
     block_rows: int = 4096
+    query_rows: int = 4096
     #: Columns scanned between two tests, and the test's margin in standard errors.
     columns: int = 16
     margin: float = 2.1
@@ -50,11 +51,28 @@ class Index:
     config: SearchConfig
     centroids: np.ndarray
     rotation: np.ndarray
-    #: Classes in each list.
+    #: Classes in each list, and the farthest one's distance from the centroid.
     sizes: np.ndarray
-
-    def blocks(self, lists: np.ndarray) -> np.ndarray:
-        return np.maximum(1, -(-self.sizes[lists] // self.config.block_rows))
+    radius: np.ndarray
+    #: Classes that bound distances.
+    sample: np.ndarray
+
+    def blocks(self) -> np.ndarray:
+        """A large list has several blocks."""
+        return np.maximum(1, -(-self.sizes // self.config.block_rows))
+
+    def units(self) -> np.ndarray:
+        """Each list's first unit: small lists share one, each block of a large list is one of its own."""
+        first, at, held = np.zeros(len(self.sizes), np.int64), 0, 0
+        for i, (size, n) in enumerate(zip(self.sizes.tolist(), self.blocks().tolist(), strict=True)):
+            if held and (n > 1 or held + size > self.config.block_rows):
+                at, held = at + 1, 0
+            first[i] = at
+            if n > 1:
+                at, held = at + n, 0
+            else:
+                held += size
+        return first
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -83,24 +101,44 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
     return out
 
 
-def adaptive_scan(query: np.ndarray, rows: np.ndarray, k: int, c: SearchConfig) -> np.ndarray:
-    """Candidates that may be among the k nearest rows of a rotated query: the tests' survivors."""
-    d = rows.shape[1]
-    first = min(len(rows), max(4 * k, 64))
-    alive, best = np.arange(first, len(rows)), ((rows[:first] - query) ** 2).sum(1)
-    found = [np.arange(first)]
-    if len(alive):
-        bound = np.partition(best, k - 1)[k - 1] if len(best) >= k else np.inf
-        partial = np.zeros(len(alive))
-        for at in range(0, d, c.columns):
-            to = min(d, at + c.columns)
-            partial += ((rows[alive, at:to] - query[at:to]) ** 2).sum(1)
-            keep = partial * (d / to) <= bound * (1 + (c.margin / np.sqrt(to) if to < d else 0)) ** 2
-            alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                break
-        found.append(alive)
-    return np.concatenate(found)
+def _rounding(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x, what rounding can add to squared distances from rows of y that are computed by products."""
+    return 8 * (x.shape[1] + 8) * np.finfo(float).eps * ((x**2).sum(1) + (y**2).sum(1).max(initial=0))
+
+
+def distance_bounds(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which each row of x has k rows of the sample; infinite where the sample has fewer."""
+    out = np.full(len(x), np.inf)
+    if len(sample) >= k:
+        norms, slack = (sample**2).sum(1), _rounding(x, sample)
+        for at in range(0, len(x), 256):
+            q = x[at : at + 256]
+            d = (q**2).sum(1)[:, None] + norms - 2 * (q @ sample.T)
+            out[at : at + 256] = np.sqrt(np.maximum(0, np.partition(d, k - 1, axis=1)[:, k - 1]) + slack[at : at + 256])
+    return out
+
+
+def adaptive_scan(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, c: SearchConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of rotated vectors that may lie within the queries' bounds: the tests' survivors."""
+    d, slack = rows.shape[1], _rounding(queries, rows)
+    q = r = np.zeros(0, np.int64)
+    partial, alive, dense = np.zeros((len(queries), len(rows))), True, True
+    for at in range(0, d, c.columns):
+        to = min(d, at + c.columns)
+        a, b = queries[:, at:to], rows[:, at:to]
+        limit = (bounds * (1 + (c.margin / np.sqrt(to) if to < d else 0))) ** 2 * (to / d) + slack
+        if dense:
+            partial += (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * (a @ b.T)
+            alive = (partial <= limit[:, None]) & alive
+            if dense := 16 * np.count_nonzero(alive) > alive.size and to < d:
+                continue
+            q, r = np.nonzero(alive)
+            partial = partial[q, r]
+        else:
+            partial = partial + ((a[q] - b[r]) ** 2).sum(1)
+            keep = partial <= limit[q]
+            q, r, partial = q[keep], r[keep], partial[keep]
+    return q, r
 
 
 def _classes(vectors: DataFrame, c: SearchConfig) -> DataFrame:
@@ -112,7 +150,7 @@ def _classes(vectors: DataFrame, c: SearchConfig) -> DataFrame:
 
 
 def build(classes: DataFrame, c: SearchConfig) -> tuple[DataFrame, Index] | None:
-    """(rep, vector, members) -> the same with its list and block, and the index; None without classes."""
+    """(rep, vector, members) -> the same with its list and unit, and the index; None without classes."""
     n = classes.count()
     if not n:
         return None
@@ -125,69 +163,89 @@ def build(classes: DataFrame, c: SearchConfig) -> tuple[DataFrame, Index] | None
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                frame = frame.assign(list=nearest(np.stack(frame["vector"].to_list()).astype(np.float64), shared.value)[:, 0])
-                yield frame[["list", "rep", "vector", "members"]]
+                x = np.stack(frame["vector"].to_list()).astype(np.float64)
+                own = nearest(x, shared.value)[:, 0]
+                frame = frame.assign(list=own, far=np.sqrt(((x - shared.value[own]) ** 2).sum(1)))
+                yield frame[["list", "far", "rep", "vector", "members"]]
 
-    listed = materialise(classes.select("rep", "vector", "members").mapInPandas(assign, "list long, rep long, vector array<float>, members array<long>"), "lists")
-    sizes = np.zeros(len(centroids), np.int64)
-    for row in listed.groupBy("list").count().collect():
-        sizes[row["list"]] = row["count"]
-    index = Index(c, centroids, rotation(x.shape[1], c.seed), sizes)
-    blocks = F.element_at(F.lit([int(b) for b in index.blocks(np.arange(len(sizes)))]), (F.col("list") + 1).cast("int"))
-    return listed.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long"))), index
+    listed = materialise(classes.select("rep", "vector", "members").mapInPandas(assign, "list long, far double, rep long, vector array<float>, members array<long>"), "lists")
+    sizes, radius = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
+    for row in listed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        sizes[row["list"]], radius[row["list"]] = row["n"], row["far"]
+    index = Index(c, centroids, rotation(x.shape[1], c.seed), sizes, radius, x[: c.bound_rows].astype(np.float32))
+    blocks, first = (F.element_at(F.lit(v.tolist()), (F.col("list") + 1).cast("int")).cast("long") for v in (index.blocks(), index.units()))
+    return listed.withColumn("unit", first + F.pmod(F.xxhash64("rep"), blocks)).drop("far"), index
 
 
-def _probes(index: Index, x: np.ndarray) -> list[np.ndarray]:
-    """The lists that each query visits, nearest first: the configured share, and on until they hold enough classes."""
-    c, lists = index.config, len(index.centroids)
-    least = min(lists, max(c.probe_least, int(np.ceil(c.probe_share * lists))))
-    order = nearest(x, index.centroids, lists)
-    enough = (np.cumsum(index.sizes[order], axis=1) >= max(c.probe_rows, c.k + 1)).argmax(1) + 1
-    enough[index.sizes.sum() < max(c.probe_rows, c.k + 1)] = lists
-    return [row[: max(least, int(e))] for row, e in zip(order, enough, strict=True)]
+def _visits(index: Index, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which lists each row of x must visit: those that may hold a class within its bound."""
+    c = index.centroids
+    d = (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * (x @ c.T)
+    nearest_point = np.sqrt(np.maximum(0, d - _rounding(x, c)[:, None])) - index.radius * (1 + 1e-12)
+    return (nearest_point <= bounds[:, None]) & (index.sizes > 0)
+
+
+def _best(q: np.ndarray, score: np.ndarray, rep: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k best, by score and rep."""
+    order = np.lexsort((rep, score, q))
+    start = np.concatenate([[True], q[order][1:] != q[order][:-1]])
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(start, at, 0)) < k]
 
 
 def _nearest_classes(queries: DataFrame, listed: DataFrame, index: Index) -> DataFrame:
-    """(q, qv) and the listed classes -> (q, rep, score, members): the k + 1 nearest found of each query and more."""
+    """(q, qv) and the listed classes -> (q, rep, score, members): the k + 1 nearest of each query and more."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
     k = index.config.k + 1
+    parts = max(1, -(-queries.count() // index.config.query_rows))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
+        first, blocks, sample = own.units(), own.blocks(), own.sample.astype(np.float64)
         for frame in frames:
-            if not len(frame):
-                continue
-            out = []
-            for q, v, lists in zip(frame["q"], frame["qv"], _probes(own, np.stack(frame["qv"].to_list()).astype(np.float64)), strict=True):
-                n = own.blocks(lists)
-                out.append(pd.DataFrame({"list": np.repeat(lists, n), "block": np.concatenate([np.arange(i) for i in n]), "q": q, "qv": [v] * int(n.sum())}))
-            yield pd.concat(out)
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        own = shared.value
-        x = np.stack(rows["vector"].to_list()).astype(np.float64)
-        turned = x @ own.rotation
-        reps, members, out = rows["rep"].to_numpy(), rows["members"].to_numpy(), []
-        for q, v in zip(asked["q"], asked["qv"], strict=True):
-            v = np.asarray(v, np.float64)
-            found = adaptive_scan(v @ own.rotation, turned, k, own.config)
-            score = np.sqrt(((x[found] - v) ** 2).sum(1))
-            best = np.lexsort((reps[found], score))[:k]
-            out.append(pd.DataFrame({"q": q, "rep": reps[found[best]], "score": score[best], "members": members[found[best]]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "score": [], "members": []})
-
-    asked = queries.mapInPandas(visit, "list long, block long, q long, qv array<float>")
+            for at in range(0, len(frame), 512):
+                some = frame[at : at + 512]
+                x = np.stack(some["qv"].to_list()).astype(np.float64)
+                bounds = distance_bounds(x, sample, k)
+                must = _visits(own, x, bounds)
+                for q, v, bound, lists in zip(some["q"], some["qv"], bounds, must, strict=True):
+                    units = np.unique(np.concatenate([np.arange(first[i], first[i] + blocks[i]) for i in np.flatnonzero(lists)]))
+                    yield pd.DataFrame({"unit": units, "q": q, "qv": [v] * len(units), "bound": bound})
 
     def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "members": pd.Series(dtype="object")})
-        return search(rows, asked)
-
-    return listed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(pair, "q long, rep long, score double, members array<long>")
+        own = shared.value
+        rows = rows.sort_values(["list", "rep"], ignore_index=True)
+        x, v = (np.stack(t.to_list()).astype(np.float64) for t in (rows["vector"], asked["qv"]))
+        turned, reps, bounds = x @ own.rotation, rows["rep"].to_numpy(), asked["bound"].to_numpy()
+        must, turned_v = _visits(own, v, bounds), v @ own.rotation
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, row, score
+        lists, starts = np.unique(rows["list"].to_numpy(), return_index=True)
+        for i, start, end in zip(lists, starts, [*starts[1:], len(rows)], strict=True):
+            who = np.flatnonzero(must[:, i])
+            for at in range(0, len(who), 256):
+                some = who[at : at + 256]
+                q, r = adaptive_scan(turned_v[some], turned[start:end], bounds[some], own.config)
+                q, r = some[q], r + start
+                score = np.concatenate([np.sqrt(((x[r[j : j + 65536]] - v[q[j : j + 65536]]) ** 2).sum(1)) for j in range(0, max(1, len(q)), 65536)])
+                found = tuple(np.concatenate(two) for two in zip(found, (q, r, score), strict=True))
+                if len(found[0]) > 2 * k * len(asked) + 65536:
+                    best = _best(found[0], found[2], reps[found[1]], k)
+                    found = tuple(f[best] for f in found)
+        best = _best(found[0], found[2], reps[found[1]], k)
+        q, r, score = (f[best] for f in found)
+        return pd.DataFrame({"q": asked["q"].to_numpy()[q], "rep": reps[r], "score": score, "members": rows["members"].to_numpy()[r]})
+
+    part = F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")
+    asked = queries.mapInPandas(visit, "unit long, q long, qv array<float>, bound double").withColumn("part", part)
+    # Each part of the queries meets every class.
+    met = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return met.groupBy("unit", "part").cogroup(asked.groupBy("unit", "part")).applyInPandas(pair, "q long, rep long, score double, members array<long>")
 
 
 def search(df: DataFrame, is_query: Column, config: SearchConfig | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest rows found of each query row, by Euclidean distance.
+    """query_id, rank (from 1), vec_id, score: the k nearest rows of each query row, by Euclidean distance.
 
     Candidates are all rows but the query's own; ties go to the smaller id.  Rows
     with a null id or vector, a zero vector, or null or non-finite components take

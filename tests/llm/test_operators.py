@@ -162,6 +162,20 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_recall_without_clusters(spark):
+    x = np.random.RandomState(1).normal(size=(6000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    # Small units and parts, and a bound from few vectors, as on large tables.
+    for c in ({}, {"block_rows": 64, "query_rows": 16, "bound_rows": 200}):
+        got, hits = ann.search(df, F.col("vec_id") % 100 == 0, ann.SearchConfig(**c)).toPandas(), 0
+        for q, g in got.groupby("query_id"):
+            d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len(set(np.argsort(d)[:10]) & set(g.vec_id))
+        assert hits >= 0.99 * 600
+
+
 def test_mixing_fills_to_targets(spark):
     rng = random.Random(2)
     rows = [(i, "a" if i % 3 else rng.choice(["b", "c", None]), rng.randint(0, 50)) for i in range(600)] + [(700, "d", 0), (None, "b", 5)]
