@@ -33,10 +33,17 @@ def _length(docs: DataFrame, name: str) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    found = jaccard.near_duplicates(docs)
-    extra = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_extra")).distinct()
-    kept = docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("_extra"), "left_anti")
+    """Of each group of near duplicates one row stays: that of the smallest id, a null id last.
+
+    Rows are told apart by a key of their own, so ids may be repeated or null.
+    """
+    row = free_name(docs, "_row")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
+    ids = keyed.select(F.col(row).alias("_own"), F.col("doc_id").alias("_id"))
+    members = found.select(F.col("doc_id").alias("_own"), F.col("component_id").alias("_group")).join(ids, "_own")
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_own")).alias("_first"))
+    kept = keyed.join(first.select(F.col("_first._own").alias("_stays")).hint("shuffle_hash"), F.col(row) == F.col("_stays"), "left_semi")
     return kept.select(docs.columns)
 
 

@@ -282,3 +282,13 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert sorted(r.doc_id for r in d.collect()) == list(range(30))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= set(range(30))
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(rng.choices([f"{x}{y}n" for x in "bcdfg" for y in "aeiou"], k=60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (None, d), (None, d), (None, a), (5, a)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)
