@@ -48,18 +48,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents as the mix takes them; a partial repetition is the text up to the end of its last word."""
-    draw, size = mixing.draw_key(MIX_SEED, F.col("doc_id")), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialise(docs.select("source", size.alias("size"), draw.alias("draw")), "sizes")
-    plan = mixing.plan_mix(rows, WEIGHTS, SHARE, EPOCHS)
-    mixed = mixing.apply_mix(docs, plan, F.col("source"), size, draw)
+    """Repeats documents as the mix takes them, whole: the one at a source's boundary is taken where at least half of it belongs to the mix.
+
+    The draw key ends with a key of the row's own, so rows never tie.
+    """
+    row, words, key = free_name(docs, "_row"), free_name(docs, "_words"), free_name(docs, "_draw")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    draw = F.concat(mixing.draw_key(MIX_SEED, F.col("doc_id"), F.xxhash64("text")), F.lpad(F.col(row).cast("string"), 19, "0"))
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()).withColumns({words: size, key: draw}), "sizes")
+    plan = mixing.plan_mix(keyed.select("source", F.col(words).alias("size"), F.col(key).alias("draw")), WEIGHTS, SHARE, EPOCHS)
+    mixed = mixing.apply_mix(keyed, plan, F.col("source"), F.col(words), F.col(key))
+    boundary = ((F.col("mix_part") > 0) & (2 * F.col("mix_part") >= F.col(words))).cast("long")
     copy = free_name(mixed, "_copy")
-    copies = F.array_repeat(F.lit(0).cast("long"), F.col("mix_copies").cast("int"))
-    mixed = mixed.withColumn(copy, F.explode(F.when(F.col("mix_part") > 0, F.array_append(copies, F.col("mix_part"))).otherwise(copies)))
-    cut = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col(copy).cast("int"))), "")
-    text = F.when(F.col(copy) > 0, F.regexp_replace(F.concat(cut, words), r"[\x20\x09-\x0D]+$", "")).otherwise(F.col("text"))
-    return mixed.withColumn("text", text).select([_length(docs, c) for c in docs.columns])
+    mixed = mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), (F.col("mix_copies") + boundary).cast("int"))))
+    return mixed.select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

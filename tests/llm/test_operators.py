@@ -292,3 +292,18 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (None, d), (None, d), (None, a), (5, a)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)
+
+
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(None if i % 2 else i % 5, " ".join(rng.choices("abcdefgh", k=rng.randint(3, 40))), f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.mix_sources(spark, df, "").collect()]
+    assert set(got) <= set(rows)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("s0", "s1", "s2")}
+    plan = mixing.plan_mix(df.select("source", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("size"), mixing.draw_key(1, F.col("text")).alias("draw")), queries.WEIGHTS, queries.SHARE, queries.EPOCHS)
+    for r in plan.collect():
+        taken = sum(len(t.split()) for _, t, x in got if x == r.source)
+        assert r.source_size == sizes[r.source] and abs(taken - r.target) <= 21
