@@ -30,6 +30,8 @@ class LanguageConfig:
     #: A text is rejected below this part of the similarity that all but ``outliers`` of its language's sample reach.
     slack: float = 0.5
     outliers: float = 0.002
+    #: A text of fewer n-grams is rejected below a smaller part: cosines fall with the root of their number.
+    full_grams: int = 150
     seed: int = 11
 
 
@@ -173,7 +175,7 @@ def predict_batch(texts: list[str | None], model: LanguageModel) -> tuple[list[s
         lang = int(model.language[best])
         langs.append(model.names[lang])
         scores.append(float(min(1.0, max(0.0, near[best]))))
-        rejected.append(bool(near[best] < model.radius[lang]))
+        rejected.append(bool(near[best] < model.radius[lang] * min(1.0, (counts.sum() / model.config.full_grams) ** 0.5)))
     return langs, scores, rejected
 
 

@@ -247,6 +247,19 @@ def test_language_is_found_and_strange_text_rejected(spark):
     assert {r.lang_pred for r in language.identify(test, empty).collect()} == {"und"}
 
 
+def test_clean_words_are_kept_however_short():
+    texts = ["erö avec maison und haus wasser the house with water " * 3, "le chat est avec nous dans la maison et il dort"]
+    grams = np.stack([language.ngram_counts(t, language.LanguageConfig()) for t in texts])
+    idf = np.ones(grams.shape[1], np.float32)
+    centroids = np.stack([language.vector(g, idf) for g in grams]).astype(np.float32)
+    # Radii that the cosine of a word reaches in part only.
+    short = ["avec", "Avec.", "dort", "erö"]
+    alone = [float((centroids @ language.vector(language.ngram_counts(t, language.LanguageConfig()), idf)).max()) for t in short]
+    model = language.LanguageModel(language.LanguageConfig(), idf, centroids, np.array([0, 1]), ["a", "b"], np.full(2, 1.5 * max(alone)))
+    assert language.predict_batch(short, model)[2] == [False] * len(short)
+    assert language.predict_batch(["אבג", "привет мир", "漢字", "12 ?"], model)[2] == [True] * 4
+
+
 def test_toxicity_learns_words_and_scores_any_text(spark):
     rng = random.Random(6)
     clean = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
