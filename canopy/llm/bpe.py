@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding with cached pair merging, decoding by retained ids and offsets."""
+"""Byte-level BPE: encoding with cached pair merging, decoding by joining the bytes of the ids."""
 
 from __future__ import annotations
 
