@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or in local mode a temporary folder where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir, which driver and executors share; in local mode a temporary folder where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -20,9 +22,58 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scratch:
+    """The folders that store() made inside a block, but those kept; they go when the block ends."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, a result of store(), outlives the block: an outer block, if any, takes it over."""
+        path = _path_of(df)
+        if path in self.paths:
+            self.paths.remove(path)
+            if len(_open) > 1:
+                _open[_open.index(self) - 1].paths.append(path)
+        return df
+
+
+_open: list[Scratch] = []
+
+
+def _path_of(df: DataFrame) -> str | None:
+    return getattr(df, "_stored_at", None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """What store() writes inside is deleted at the end of the block, also after an error, but for what keep() names.
+
+    Nothing that is still to be computed may read a deleted folder: keep the
+    stored results that leave the block.
+    """
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        for path in own.paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """df written to shared storage and read back."""
+    """df written to shared storage and read back: lineage ends here, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if _open:
+        _open[-1].paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
