@@ -1,4 +1,9 @@
-"""Byte-level BPE: encoding with cached pair merging, decoding by joining the bytes of the ids."""
+"""Byte-level BPE: encoding with cached pair merging, decoding by the tokens' retained offsets.
+
+Offsets say where each token's bytes start in its text's UTF-8 form.  Decoding
+puts every token's bytes at its offset, all tokens of a batch at once, and any
+span of a text can be decoded without the rest.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +17,17 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from canopy.llm.common import lean, ship_code
+from canopy.llm.common import free_name, lean, ship_code
 from canopy.llm.pretoken import pieces
 
 #: Texts pre-tokenised at once hold about so many characters; a longer text goes by itself.
 CHUNK_CHARS = 1 << 18
 #: Pieces whose ids a worker keeps; others are merged anew each time.
 CACHE_PIECES = 100_000
+#: Tokens placed at once when texts are decoded.
+DECODE_TOKENS = 1 << 18
 #: Rows of a batch whose texts are Python strings at once.
 ROWS = 256
 #: From this many bytes a piece is merged with a heap instead of by rescanning.
@@ -36,6 +44,9 @@ class ByteBPE:
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.lengths = np.zeros(max(self.tokens) + 1, np.int64)
         self.lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        #: All tokens' bytes in the order of ids, and where each begins.
+        self.flat = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.decimals = {b: str(b) for b in self.tokens}
         #: piece -> its ids as bytes of little-endian int32
         self.cache: dict[str, bytes] = {}
@@ -77,7 +88,7 @@ class ByteBPE:
         return out
 
     def merge_all(self, pieces_: list[str]) -> list[bytes]:
-        """merge() of many pieces at once: in each round every piece merges its lowest pair."""
+        """The ids of each piece: always the pair of lowest rank merges first, the leftmost of equals; a round does it for all pieces."""
         raw = [p.encode() for p in pieces_]
         out: list[bytes] = [b""] * len(raw)
         short: dict[int, list[int]] = {}
@@ -134,30 +145,8 @@ class ByteBPE:
         flat, step = final.tobytes(), 4 * width
         return [flat[i * step : i * step + 4 * k] for i, k in enumerate(final_length.tolist())]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece: always the pair of lowest rank merges first, the leftmost of equals."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        if len(piece) >= LONG_PIECE:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, 1 << 30) for a, b in pairwise(parts)]
-        while pairs:
-            low = min(pairs)
-            if low == 1 << 30:
-                break
-            i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
-        return [ranks[p] for p in parts]
-
     def _merge_long(self, piece: bytes) -> list[int]:
-        """The same in n log n steps: linked parts, and a heap of (rank, place) whose stale entries are skipped."""
+        """The same for one piece in n log n steps: linked parts, and a heap of (rank, place) whose stale entries are skipped."""
         ranks, n = self.ranks, len(piece)
         end = list(range(1, n + 1))
         prev = list(range(-1, n - 1))
@@ -194,8 +183,8 @@ class ByteBPE:
             i = end[i]
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; null and empty texts have none."""
+    def encode_chunks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of all texts, chunk by chunk: (ids of some texts in a row, where each text's begin and the last one's end)."""
         at = 0
         while at < len(texts):
             stop, chars = at, 0
@@ -204,10 +193,17 @@ class ByteBPE:
                 stop += 1
             found, first = pieces([t or "" for t in texts[at:stop]])
             ids = self._look_up(found)
-            for a, b in pairwise(first.tolist()):
-                yield np.frombuffer(b"".join(ids[a:b]), "<i4")
+            ends = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=ends[1:])
+            yield np.frombuffer(b"".join(ids), "<i4"), ends[first]
             at = stop
 
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null and empty texts have none."""
+        for ids, first in self.encode_chunks(texts):
+            for a, b in pairwise(first.tolist()):
+                yield ids[a:b]
+
     def _look_up(self, found: list[str]) -> list[bytes]:
         """The ids of each piece, from the cache or merged in bulk."""
         ids = list(map(self.cache.get, found))
@@ -223,13 +219,31 @@ class ByteBPE:
         return ids
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
-        """Where each token starts in the text's UTF-8 bytes."""
-        out = np.zeros(len(ids), np.int32)
+        """Where each token's bytes start."""
+        out = np.zeros(len(ids), np.int64)
         np.cumsum(self.lengths[ids[:-1]], out=out[1:]) if len(ids) else None
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def place(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Each token's bytes put at its offset, relative to the first one's; what no token covers is 0."""
+        if not len(ids):
+            return b""
+        start = offsets - offsets[0]
+        out = np.zeros(int(start[-1] + self.lengths[ids[-1]]), np.uint8)
+        for at in range(0, len(ids), DECODE_TOKENS):
+            own = ids[at : at + DECODE_TOKENS]
+            n = self.lengths[own]
+            ends = np.cumsum(n)
+            step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            out[np.repeat(start[at : at + DECODE_TOKENS], n) + step] = self.flat[np.repeat(self.starts[own], n) + step]
+        return out.tobytes()
+
+    def span(self, ids: np.ndarray, offsets: np.ndarray, start: int, stop: int) -> bytes:
+        """Bytes start to stop of a text: only the tokens that reach into them are decoded."""
+        a = max(0, int(np.searchsorted(offsets, start, "right")) - 1)
+        b = int(np.searchsorted(offsets, stop, "left"))
+        first = int(offsets[a]) if a < b else 0
+        return self.place(ids[a:b], offsets[a:b])[max(0, start - first) : max(0, stop - first)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -238,53 +252,60 @@ def codec(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-    """Each batch with the ids of its rows' texts, made as they are read."""
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Each batch with the ids of its rows' texts as chunks (see encode_chunks), made as they are read."""
     bpe = codec(path)
     for batch in batches:
         column = batch.column(text)
         slices = (column.slice(k, ROWS).to_pylist() for k in range(0, len(column), ROWS))
-        yield batch, itertools.chain.from_iterable(map(bpe.encode, slices))
+        yield batch, itertools.chain.from_iterable(map(bpe.encode_chunks, slices))
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with ids (array<int>) and offsets (array<int>, byte starts of the tokens).
+    """The kept columns with ids (array<int>) and offsets (array<long>, byte starts of the tokens); kept columns so called are replaced.
 
-    Whole texts, without special tokens.  Null and empty texts have empty arrays.
-    The rank file must lie at ``path`` on every executor.  No shuffle.
+    Whole texts, without special tokens.  Null and empty texts have empty arrays;
+    a very long text is a chunk of its own.  The rank file must lie at ``path`` on
+    every executor.  Repeated rows stay.  No shuffle.
     """
     ship_code(df.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    source = df.select(*keep, text)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) + "ids array<int>, offsets array<int>"
+    keep = [k for k in (["doc_id"] if keep is None else keep) if k not in ("ids", "offsets")]
+    read = free_name(df, "_text")
+    source = df.select(*keep, F.col(text).alias(read))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) + "ids array<int>, offsets array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch, found in encode_batches(batches, path, text):
-            ids = list(found)
+        for batch, chunks in encode_batches(batches, path, read):
+            ids = [own for flat, first in chunks for own in np.split(flat, first[1:-1])]
             offsets = [bpe.offsets(x) for x in ids]
-            columns = [batch.column(c) for c in keep] + [_lists(ids), _lists(offsets)]
+            columns = [batch.column(c) for c in keep] + [_lists(ids, pa.int32()), _lists(offsets, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "offsets"])
 
     return source.mapInArrow(lean(run), schema)
 
 
 def decode_documents(df: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with the text that ids stand for (null ids: null; bytes that aren't UTF-8 read as U+FFFD)."""
+    """(ids, offsets) -> the kept columns with the text: each token's bytes are put at its offset.
+
+    Null ids or offsets give a null text; bytes that aren't UTF-8 read as U+FFFD.
+    A kept column called text is replaced.
+    """
     ship_code(df.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [k for k in (["doc_id"] if keep is None else keep) if k not in ("text", "ids", "offsets")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) + "text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            texts = [None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            rows = zip(batch.column("ids"), batch.column("offsets"), strict=True)
+            texts = [bpe.place(np.asarray(i.values, np.int64), np.asarray(o.values, np.int64)).decode("utf-8", "replace") if i.is_valid and o.is_valid else None for i, o in rows]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return df.select(*keep, "ids").mapInArrow(lean(run), schema)
+    return df.select(*keep, "ids", "offsets").mapInArrow(lean(run), schema)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     bounds = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=bounds[1:])
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), kind))

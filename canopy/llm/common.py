@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.storage import scratch
+from canopy.storage import store as materialise
+
+__all__ = ["WORD", "free_name", "free_names", "held_out", "lean", "materialise", "read_table", "scratch", "ship_code"]
+
 #: A word, for the operators that count words with SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,30 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset a temporary folder serves, in local mode only.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(Path(tempfile.mkdtemp(prefix="canopy-")).as_uri())
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def ship_code(spark: SparkSession) -> None:
     """Lets Python workers started from now on import this package in local mode; a cluster gets it by --py-files."""
     root = str(Path(__file__).resolve().parents[2])
@@ -82,6 +61,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    return [free_name(df, name) for name in names]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows never learned from: crc32 of the id as text leaves remainder 2 by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

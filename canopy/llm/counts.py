@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.bpe import encode_batches
-from canopy.llm.common import materialise, ship_code
+from canopy.llm.common import lean, materialise, ship_code
 
 #: Lengths summed in one task.
 STRETCH = 1024
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """n_tokens of each whole text (null and empty: 0)."""
+    """n_tokens of each whole text (null and empty: 0), one row a row of docs; its other columns don't matter."""
     ship_code(docs.sparkSession)
+    read = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids in encode_batches(batches, path, text):
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in ids], pa.int64())], names=["n_tokens"])
+        for _, chunks in encode_batches(batches, path, read):
+            n = [np.diff(first) for _, first in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(n) if n else [], pa.int64())], names=["n_tokens"])
 
-    return docs.select(text).mapInArrow(run, "n_tokens long")
+    return docs.select(F.col(text).alias(read)).mapInArrow(lean(run), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

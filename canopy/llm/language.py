@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import free_name, lean, ship_code
@@ -19,7 +19,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """Parameters; ``per_language`` and ``sample_rows`` bound the labelled rows that centroids are fitted on."""
+    """Parameters; ``per_language``, ``sample_rows`` and ``most_languages`` bound the labelled rows that centroids are fitted on."""
 
     features: int = 1 << 14
     longest: int = 3
@@ -27,6 +27,7 @@ class LanguageConfig:
     rounds: int = 8
     per_language: int = 400
     sample_rows: int = 20_000
+    most_languages: int = 1000
     #: A text is rejected below this part of the similarity that all but ``outliers`` of its language's sample reach.
     slack: float = 0.5
     outliers: float = 0.002
@@ -112,37 +113,54 @@ def _cluster(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def _sample(docs: DataFrame, c: LanguageConfig) -> tuple[DataFrame, list[str], int]:
+    """(lang, text, _key): distinct (id, text) pairs in the order of a hash, the languages, and how many pairs each may have.
+
+    A row's hash decides whether it is in the sample, by a threshold for its
+    language that lets about ``each`` rows through; rows that repeat an id and a
+    text are one, merged before the shuffle.  So no task meets a whole language.
+    """
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(c.most_languages).collect()
+    each = max(8, min(c.per_language, c.sample_rows // max(1, len(sizes))))
+    # The key is spread evenly over 2**63 values; a fifth more than needed pass.
+    limits = [(r["lang"], min((1 << 63) - 1, int((1 << 63) * min(1.0, 1.2 * (each + 40) / r["n"])))) for r in sizes]
+    if not limits:
+        return docs.select("lang", "text", F.lit(0).cast("long").alias("_key")).limit(0), [], each
+    own = docs.sparkSession.createDataFrame(limits, "_lang string, _most long")  # most_languages rows
+    key = F.xxhash64("doc_id", "text", F.lit(c.seed)).bitwiseAND(F.lit((1 << 63) - 1))
+    chosen = docs.withColumn("_key", key).join(F.broadcast(own), (F.col("lang") == F.col("_lang")) & (F.col("_key") <= F.col("_most")))
+    return chosen.groupBy("lang", "_key").agg(F.min("text").alias("text")).select("lang", "text", "_key"), sorted(r["lang"] for r in sizes), each
+
+
 def fit(docs: DataFrame, config: LanguageConfig | None = None) -> LanguageModel:
     """(doc_id, text, lang) of labelled documents -> a model.
 
     Document frequencies count every given row.  Centroids are clustered on a
-    bounded sample: the first rows of each language by a hash of the id, at most
-    ``per_language`` of one and ``sample_rows`` in all.  Rows with null text,
-    null lang or no letter teach nothing; without any row the model is empty.
+    bounded sample: the first (id, text) pairs of each language by a hash, at most
+    ``per_language`` of one and ``sample_rows`` in all; ids may be null or
+    repeated.  The ``most_languages`` most frequent values of lang are learned.
+    Rows with null text, null lang or no letter teach nothing; without any row the
+    model is empty.
     """
     c = config or LanguageConfig()
     ship_code(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df = _document_frequencies(docs, c)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    names = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
-    each = max(8, min(c.per_language, c.sample_rows // max(1, len(names))))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(c.seed)), "doc_id")
-    ids = docs.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= each).select("doc_id", "lang")
-    # At most sample_rows ids.
-    sample = docs.join(F.broadcast(ids.withColumnsRenamed({"doc_id": "_id", "lang": "_lang"})), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    sample, names, each = _sample(docs, c)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, np.flatnonzero(n), n[n > 0]) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (n := ngram_counts(text, c)) is not None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["lang", "at", "n"]
-            )
+            columns = (batch.column(k).to_pylist() for k in range(3))
+            rows = [(lang, key, np.flatnonzero(n), n[n > 0]) for lang, text, key in zip(*columns, strict=True) if (n := ngram_counts(text, c)) is not None]
+            kinds = {"lang": pa.string(), "_key": pa.int64(), "at": pa.list_(pa.int32()), "n": pa.list_(pa.float64())}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     centroids, language, radius, known = [], [], [], []
-    rows = sample.mapInArrow(lean(vectors), "lang string, at array<int>, n array<double>").toPandas()
+    # About 1.2 x sample_rows rows pass the thresholds; the limit bounds them for certain.
+    rows = sample.mapInArrow(lean(vectors), "lang string, _key long, at array<int>, n array<double>").orderBy("_key", "lang").limit(2 * c.sample_rows).toPandas()
     for lang in names:
-        own = rows[rows["lang"] == lang]
+        own = rows[rows["lang"] == lang][:each]
         if own.empty:
             continue
         x = np.zeros((len(own), c.features), np.float32)
@@ -179,25 +197,23 @@ def predict_batch(texts: list[str | None], model: LanguageModel) -> tuple[list[s
     return langs, scores, rejected
 
 
-def identify(df: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The kept columns with lang_pred, lang_score and lang_rejected; kept columns so called are replaced.
+def identify(df: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:
+    """The kept columns with lang_pred, lang_score and lang_rejected, or as ``names`` calls them; kept columns so called are replaced.
 
     Whole texts.  A null, empty or letterless text is `und`, scores 0 and is
-    rejected; any other gets a learned language, rejected or not.  No shuffle.
+    rejected; any other gets a learned language, rejected or not; of equally near
+    centroids the first one's.  Repeated rows stay.  No shuffle.
     """
     ship_code(df.sparkSession)
-    new = ["lang_pred", "lang_score", "lang_rejected"]
-    keep = [k for k in (df.columns if keep is None else keep) if k not in new]
+    keep = [k for k in (df.columns if keep is None else keep) if k not in names]
     read = free_name(df, "_text")
     source = df.select(*keep, F.col(text).alias(read))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + "lang_pred string, lang_score double, lang_rejected boolean"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "boolean"), strict=True))
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x centroids x features: bounded by the configuration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = predict_batch(batch.column(read).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_())], names=[*keep, *new])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_())], names=[*keep, *names])
 
     return source.mapInArrow(lean(run), schema)
-
-

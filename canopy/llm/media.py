@@ -3,7 +3,9 @@
 The stored form is a mono 8-bit PCM WAV file.  Features come from the stored
 bytes alone: the samples are resampled by a polyphase filter, cut to overlapping
 Hann frames, turned to log-mel bands, and segmented by frame energy with two
-thresholds.  Each segment becomes a tensor of fixed shape with its time span.
+thresholds.  Each segment becomes a tensor of fixed shape with its time span;
+a row's segments are stored as an Arrow table whose tensor column has the type
+fixed_shape_tensor, so the shape travels with the values.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from canopy.llm.common import ship_code
+from canopy.llm.common import free_name, lean, ship_code
 
 PAD = 64
 
@@ -140,22 +143,54 @@ def tensors(mel: np.ndarray, spans: list[tuple[int, int]], c: AudioConfig) -> np
 
 @dataclass(frozen=True)
 class Features:
+    """mel: all frames' bands; values: a tensor a segment; times: its start and end in seconds."""
+
     mel: np.ndarray
     spans: list[tuple[int, int]]
     values: np.ndarray
     times: np.ndarray
 
-    def as_tensor_array(self) -> pa.Array:
+    def as_tensor_array(self) -> pa.ExtensionArray:
         """The values as an Arrow array of fixed-shape tensors."""
         shape = self.values.shape[1:]
         return pa.ExtensionArray.from_storage(
             pa.fixed_shape_tensor(pa.float32(), shape), pa.FixedSizeListArray.from_arrays(pa.array(self.values.ravel()), int(np.prod(shape)))
         )
 
+    def stored(self) -> bytes:
+        """The segments as an Arrow stream: start_s, end_s, tensor; frames and the bands' mean and spread as its metadata."""
+        about = {"frames": str(len(self.mel)), "mean": f"{self.mel.mean(dtype=np.float64):.2f}", "sd": f"{self.mel.std(dtype=np.float64):.2f}"}
+        batch = pa.RecordBatch.from_arrays([pa.array(self.times[:, 0]), pa.array(self.times[:, 1]), self.as_tensor_array()], names=["start_s", "end_s", "tensor"])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema.with_metadata(about)) as w:
+            w.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+
+@dataclass(frozen=True)
+class StoredFeatures:
+    """What Features.stored() wrote, read back."""
+
+    about: dict[str, str]
+    times: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def read(cls, stored: bytes) -> StoredFeatures:
+        with pa.ipc.open_stream(stored) as r:
+            about = {k.decode(): v.decode() for k, v in r.schema.metadata.items()}
+            batch = r.read_next_batch()
+        tensor = batch.column("tensor")
+        values = tensor.storage.values.to_numpy().reshape(-1, *tensor.type.shape)
+        return cls(about, np.stack([batch.column("start_s").to_numpy(), batch.column("end_s").to_numpy()], 1), values)
+
     def digest(self) -> str:
-        """Frames, segments, mean and spread of the bands, and a checksum of the tensors in tenths of a decibel."""
-        tenths = np.round(self.values * 10).astype("<i4")
-        return f"frames={len(self.mel)};segments={len(self.spans)};mean={self.mel.mean(dtype=np.float64):.2f};sd={self.mel.std(dtype=np.float64):.2f};tensors={zlib.crc32(tenths.tobytes()):08x}"
+        """Frames, segments, mean and spread of the bands, shape, and checksums of the time spans (in milliseconds) and of the tensors (in tenths of a decibel)."""
+        tenths, ms = np.round(self.values * 10).astype("<i4"), np.round(self.times * 1000).astype("<i8")
+        return (
+            f"frames={self.about['frames']};segments={len(self.values)};mean={self.about['mean']};sd={self.about['sd']};"
+            f"shape={'x'.join(map(str, self.values.shape[1:]))};spans={zlib.crc32(ms.tobytes()):08x};tensors={zlib.crc32(tenths.tobytes()):08x}"
+        )
 
 
 def features(samples: bytes, c: AudioConfig) -> Features:
@@ -172,52 +207,81 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
     return (x or b"" for x in column.cast(pa.binary()).to_pylist())
 
 
+def _kept(df: DataFrame, keep: tuple[str, ...], new: list[str]) -> tuple[list[str], str]:
+    """The kept columns that the new ones don't replace, and their schema."""
+    names = [k for k in keep if k not in new]
+    return names, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*names).schema.fields)
+
+
 def store_media(df: DataFrame, text: str = "text", config: AudioConfig | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with n_bytes and media: the whole text's bytes, padded and stored as an 8-bit WAV file. No shuffle."""
+    """The kept columns with n_bytes and media: the whole text's bytes, padded and stored as an 8-bit WAV file.
+
+    Null and empty texts are 64 zero bytes.  Kept columns called like the new ones
+    are replaced.  Repeated rows stay.  No shuffle.
+    """
     c = config or AudioConfig()
     ship_code(df.sparkSession)
-    source = df.select(*keep, text)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) + "n_bytes long, media binary"
+    keep, schema = _kept(df, keep, ["n_bytes", "media"])
+    read = free_name(df, "_text")
+    source = df.select(*keep, F.col(text).alias(read))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = list(text_bytes(batch.column(text)))
+            raw = list(text_bytes(batch.column(read)))
             media = [to_wav(to_payload(x), c.rate) for x in raw]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema + "n_bytes long, media binary")
 
 
-def audio_features(df: DataFrame, config: AudioConfig | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each energy segment of each stored media value: the kept columns, segment, start_s, end_s and tensor.
+def feature_tensors(df: DataFrame, config: AudioConfig | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with tensors: each media value's segments as an Arrow stream (see Features.stored); null media: null.
 
-    tensor is a flat array<float> of shape x bands values, the storage of an Arrow
-    fixed-shape tensor (Features.as_tensor_array gives the typed array).  Null
-    media have no rows; so have media whose energy never reaches the threshold.
+    A kept column called tensors is replaced.  Media without a segment have an empty table.
     """
     c = config or AudioConfig()
     ship_code(df.sparkSession)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields) + "segment int, start_s double, end_s double, tensor array<float>"
+    keep, schema = _kept(df, keep, ["tensors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if m is None else features(from_wav(m), c).stored() for m in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(found, pa.binary())], names=[*keep, "tensors"])
+
+    return df.select(*keep, F.col("media").alias(free_name(df, "_media"))).mapInArrow(lean(run), schema + "tensors binary")
+
+
+def audio_features(df: DataFrame, config: AudioConfig | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each energy segment of each row's stored tensors: the kept columns, segment, start_s, end_s and tensor.
+
+    tensor is a flat array<float>; its column's metadata has the shape.  Null media
+    have no rows; so have media whose energy never reaches the threshold.  Kept
+    columns called like the new ones are replaced.
+    """
+    c = config or AudioConfig()
+    new = ["segment", "start_s", "end_s", "tensor"]
+    stored = feature_tensors(df, c, tuple(k for k in keep if k not in new))
+    keep, schema = _kept(stored, tuple(k for k in stored.columns if k != "tensors"), new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if m is None else features(from_wav(m), c) for m in batch.column("media").to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [0 if f is None else len(f.spans) for f in found])
-            some = [f for f in found if f is not None and f.spans]
-            values = np.concatenate([f.values.reshape(len(f.spans), -1) for f in some]) if some else np.zeros((0, c.shape * c.bands), np.float32)
+            found = [None if t is None else StoredFeatures.read(t) for t in batch.column("tensors").to_pylist()]
+            n = [0 if f is None else len(f.values) for f in found]
+            some = [f for f in found if f is not None and len(f.values)]
+            values = np.concatenate([f.values.reshape(len(f.values), -1) for f in some]) if some else np.zeros((0, c.shape * c.bands), np.float32)
             times = np.concatenate([f.times for f in some]) if some else np.zeros((0, 2))
-            number = np.concatenate([np.arange(len(f.spans)) for f in some]) if some else np.zeros(0)
+            number = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0)
+            rows = pa.array(np.repeat(np.arange(len(found)), n), pa.int64())
             bounds = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(pa.array(rows, pa.int64())) for k in keep], pa.array(number, pa.int32()), pa.array(times[:, 0]), pa.array(times[:, 1]), pa.ListArray.from_arrays(bounds, pa.array(values.ravel(), pa.float32()))],
-                names=[*keep, "segment", "start_s", "end_s", "tensor"],
-            )
+            columns = [pa.array(number, pa.int32()), pa.array(times[:, 0]), pa.array(times[:, 1]), pa.ListArray.from_arrays(bounds, pa.array(values.ravel(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in keep], *columns], names=[*keep, *new])
 
-    return df.select(*keep, "media").mapInArrow(run, schema)
+    out = stored.mapInArrow(lean(run), schema + "segment int, start_s double, end_s double, tensor array<float>")
+    return out.select(*keep, *new[:3], F.col("tensor").alias("tensor", metadata={"shape": [c.shape, c.bands]}))
 
 
 def media_digests(df: DataFrame, config: AudioConfig | None = None) -> DataFrame:
-    """(doc_id, n_bytes, media) -> one row each with checksums of what was stored and read back, and of the features."""
+    """(doc_id, n_bytes, media) -> one row each with checksums of what was stored and read back, of the media and of the features' tensors."""
     c = config or AudioConfig()
     ship_code(df.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -225,12 +289,14 @@ def media_digests(df: DataFrame, config: AudioConfig | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for media in batch.column("media").to_pylist():
+            for media in batch.column("media"):
+                media = media.as_py()
                 back = from_wav(media)
-                for column, value in zip(out, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), features(back, c).digest()), strict=True):
+                tensors = StoredFeatures.read(features(back, c).stored())
+                for column, value in zip(out, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), tensors.digest()), strict=True):
                     column.append(value)
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(v, t) for v, t in zip(out, types, strict=True)]], names=["doc_id", "n_bytes", *names])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import free_name
+from canopy.llm.common import free_name, materialise
 
 #: Rows of one source that the last, row-by-row step looks at, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
+#: Digits of the draw key that one step of the search for the cut looks at: 16**2 sums a source.
+DIGITS = 2
 
 
 def draw_key(seed: int, *ids: Column) -> Column:
@@ -54,9 +56,9 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, max_epoc
 
     Every row is taken ``whole`` times; rows drawn before ``until`` once more, and
     the rows at ``until`` share ``rest`` of their ``tied`` words.  The draw order
-    is cut in two steps, first by sums over key prefixes, then row by row within
-    the one prefix where the target is reached, so a source that holds most rows
-    is never sorted in one task.
+    is cut by sums over key prefixes that grow by ``DIGITS`` digits a step, each
+    within the one prefix where the target is reached, and at last row by row: no
+    step orders more than some hundred sums a source, whatever its rows.
     """
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     n = rows.count()
@@ -74,23 +76,30 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, max_epoc
         return hit.select("source", key, (F.col("_more") - F.col("_upto") + F.col("_sum")).alias("_more"), "_sum")
 
     # The tables of one row a source are broadcast: a mix names its sources, so they are few whatever the rows.
-    need = plan.select("source", "_more")
-    prefix = F.substring("draw", 1, digits)
-    cut = reached(rows.groupBy("source", prefix.alias("_prefix")).agg(F.sum("size").alias("_sum")), "_prefix", need)
-    cut = cut.select(F.col("source").alias("_s2"), F.col("_prefix").alias("_p2"), "_more")
-    inside = rows.withColumn("_prefix", prefix).join(F.broadcast(cut.select("_s2", "_p2")), F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_prefix") == F.col("_p2")))
-    last = reached(inside.groupBy("source", "draw").agg(F.sum("size").alias("_sum")), "draw", cut.select(F.col("_s2").alias("source"), "_more"))
+    sums = rows.groupBy("source", F.substring("draw", 1, digits).alias("_prefix")).agg(F.sum("size").alias("_sum"))
+    sums = materialise(sums, "prefixes") if digits > DIGITS else sums
+    cut = plan.select("source", "_more").withColumn("_key", F.lit(""))
+    for depth in [*range(DIGITS, digits, DIGITS), digits]:
+        of, at = cut.select(F.col("source").alias("_s2"), F.col("_key").alias("_p2")), F.substring("_prefix", 1, depth)
+        inside = sums.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("_s2")) & F.col("_prefix").startswith(F.col("_p2")))
+        cut = reached(inside.groupBy("source", at.alias("_key")).agg(F.sum("_sum").alias("_sum")), "_key", cut.select("source", "_more"))
+        cut = materialise(cut, "cut") if depth < digits else cut
+    of = cut.select(F.col("source").alias("_s2"), F.col("_key").alias("_p2"))
+    inside = rows.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("_s2")) & (F.substring("draw", 1, digits) == F.col("_p2")))
+    last = reached(inside.groupBy("source", "draw").agg(F.sum("size").alias("_sum")), "draw", cut.select("source", "_more"))
     last = last.select(F.col("source").alias("_s3"), F.col("draw").alias("until"), F.col("_more").alias("rest"), F.col("_sum").alias("tied"))
     return plan.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_s3")), "left").select("source", "source_size", "target", "whole", "until", "rest", "tied")
 
 
-def apply_mix(df: DataFrame, plan: DataFrame, source: Column, size: Column, draw: Column) -> DataFrame:
+def apply_mix(df: DataFrame, plan: DataFrame, source: Column, size: Column, draw: Column, prefix: str = "mix") -> DataFrame:
     """df with mix_target, mix_source_size, mix_copies (whole repetitions) and mix_part (words of one more, partial, repetition).
 
     Sizes of 0 take nothing.  Rows with one draw key (a repeated id) share the
     remainder in proportion to size.  A null source is a source of its own.
+    Columns of df that are called like the new ones, which begin with ``prefix``,
+    are replaced.
     """
-    df = df.drop("mix_target", "mix_source_size", "mix_copies", "mix_part")
+    df = df.drop(*[f"{prefix}_{x}" for x in ("target", "source_size", "copies", "part")])
     p = {c: free_name(df, f"_mix_{c}") for c in [*plan.columns, "key", "size", "draw"]}
     joined = df.withColumns({p["key"]: source, p["size"]: size, p["draw"]: draw}).join(
         F.broadcast(plan.toDF(*[p[c] for c in plan.columns])), F.col(p["key"]).eqNullSafe(F.col(p["source"])), "left"
@@ -100,5 +109,5 @@ def apply_mix(df: DataFrame, plan: DataFrame, source: Column, size: Column, draw
     full = at & (F.col(p["rest"]) == F.col(p["tied"]))
     part = F.when(at & ~full, F.call_function("div", F.col(p["size"]) * F.col(p["rest"]), F.col(p["tied"]))).otherwise(F.lit(0)).cast("long")
     return joined.select(
-        *df.columns, F.col(p["source_size"]).alias("mix_source_size"), F.col(p["target"]).alias("mix_target"), (F.col(p["whole"]) + (before | full).cast("long")).alias("mix_copies"), part.alias("mix_part")
+        *df.columns, F.col(p["source_size"]).alias(f"{prefix}_source_size"), F.col(p["target"]).alias(f"{prefix}_target"), (F.col(p["whole"]) + (before | full).cast("long")).alias(f"{prefix}_copies"), part.alias(f"{prefix}_part")
     )

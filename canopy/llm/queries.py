@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +23,25 @@ TOXIC_AT = 0.3
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts encoded, and decoded from the ids again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts encoded, and decoded again by the tokens' offsets.
+
+    Null and empty texts have no tokens.  Repeated rows each get a row; other
+    columns of docs don't matter.
+    """
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(path)
-        for batch, found in bpe.encode_batches(batches, path, "text"):
+        for batch, chunks in bpe.encode_batches(batches, path, "text"):
             n, joined, decoded = [], [], []
-            for ids in found:  # one text at a time: lists of ids are large
-                own = ids.tolist()
-                n.append(len(own))
-                joined.append(hashlib.sha256(" ".join(map(codec.decimals.__getitem__, own)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(own)).hexdigest())
+            for ids, first in chunks:
+                offsets = codec.offsets(ids)
+                ends = np.append(offsets, offsets[-1] + codec.lengths[ids[-1]] if len(ids) else 0)[first].tolist()
+                text = memoryview(codec.place(ids, offsets))
+                for (a, b), (x, y) in zip(pairwise(first.tolist()), pairwise(ends), strict=True):  # one text at a time: lists of ids are large
+                    n.append(b - a)
+                    joined.append(hashlib.sha256(" ".join(map(codec.decimals.__getitem__, ids[a:b].tolist())).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(text[x:y]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
