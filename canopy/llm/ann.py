@@ -2,12 +2,15 @@
 
 Vectors lie in the list of their nearest centroid, and lists in units of bounded
 size.  The k-th best distance of a query within a sample bounds that within all
-vectors, so a query visits every list but those that lie wholly beyond it, by
-the triangle inequality.  All vectors are rotated by one random orthogonal
+vectors, so lists that lie wholly beyond it are left out, by the triangle
+inequality.  Of the others a query probes the nearest ones, as many as it takes
+in the sample to find the share ``recall`` of the exact neighbours of held-out
+sample vectors: the neighbours in all vectors lie nearer, so they need no more.
+The number is measured anew for each table, whatever its size.  All vectors are rotated by one random orthogonal
 matrix and scanned in blocks of columns: after t of d dimensions a candidate's
 partial distance, scaled by d/t, estimates its distance; where it exceeds the
 bound by more than the test's margin, the candidate is abandoned.  What survives
-is measured exactly.
+is measured exactly and tightens the query's bound for the next list.
 
 Equal vectors are one class with its smallest ids: a result never needs more of
 them than it has rows, so many copies of a vector cost no more than one.
@@ -39,7 +42,10 @@ class SearchConfig:
     bound_rows: int = 8192
     #: Classes and queries that one task call meets, about.
     block_rows: int = 4096
-    query_rows: int = 4096
+    query_rows: int = 16_384
+    #: Share of exact neighbours that the probed lists must hold, and sample vectors that measure it.
+    recall: float = 0.995
+    probe_sample: int = 512
     #: Columns scanned between two tests, and the test's margin in standard errors.
     columns: int = 16
     margin: float = 2.1
@@ -56,6 +62,8 @@ class Index:
     radius: np.ndarray
     #: Classes that bound distances.
     sample: np.ndarray
+    #: Lists that a query probes at most.
+    probes: int
 
     def blocks(self) -> np.ndarray:
         """A large list has several blocks."""
@@ -118,6 +126,25 @@ def distance_bounds(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def needed_probes(x: np.ndarray, centroids: np.ndarray, c: SearchConfig) -> int:
+    """How many nearest lists hold the share ``recall`` of the k nearest of some rows of x among all other rows of x."""
+    step = max(1, len(x) // c.probe_sample)
+    own, ranks = nearest(x, centroids)[:, 0], []
+    for at in range(0, len(x), 256 * step):
+        rows = np.arange(at, min(len(x), at + 256 * step), step)
+        d = (x**2).sum(1) - 2 * (x[rows] @ x.T)
+        d[np.arange(len(rows)), rows] = np.inf
+        k = min(c.k, len(x) - 1)
+        if not k:
+            return len(centroids)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        order = np.argsort((centroids**2).sum(1) - 2 * (x[rows] @ centroids.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(centroids))[None], 1)
+        ranks.append(np.take_along_axis(place, own[near], 1).ravel())
+    return int(np.quantile(np.concatenate(ranks), c.recall, method="higher")) + 1
+
+
 def adaptive_scan(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, c: SearchConfig) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) of rotated vectors that may lie within the queries' bounds: the tests' survivors."""
     d, slack = rows.shape[1], _rounding(queries, rows)
@@ -172,17 +199,20 @@ def build(classes: DataFrame, c: SearchConfig) -> tuple[DataFrame, Index] | None
     sizes, radius = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
     for row in listed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
         sizes[row["list"]], radius[row["list"]] = row["n"], row["far"]
-    index = Index(c, centroids, rotation(x.shape[1], c.seed), sizes, radius, x[: c.bound_rows].astype(np.float32))
+    index = Index(c, centroids, rotation(x.shape[1], c.seed), sizes, radius, x[: c.bound_rows].astype(np.float32), needed_probes(x, centroids, c))
     blocks, first = (F.element_at(F.lit(v.tolist()), (F.col("list") + 1).cast("int")).cast("long") for v in (index.blocks(), index.units()))
     return listed.withColumn("unit", first + F.pmod(F.xxhash64("rep"), blocks)).drop("far"), index
 
 
 def _visits(index: Index, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which lists each row of x must visit: those that may hold a class within its bound."""
+    """Which lists each row of x probes: of the nearest ones those that may hold a class within its bound."""
     c = index.centroids
     d = (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * (x @ c.T)
     nearest_point = np.sqrt(np.maximum(0, d - _rounding(x, c)[:, None])) - index.radius * (1 + 1e-12)
-    return (nearest_point <= bounds[:, None]) & (index.sizes > 0)
+    may = (nearest_point <= bounds[:, None]) & (index.sizes > 0)
+    if index.probes < len(c):
+        may &= d <= np.partition(d, index.probes - 1, axis=1)[:, index.probes - 1 : index.probes]
+    return may
 
 
 def _best(q: np.ndarray, score: np.ndarray, rep: np.ndarray, k: int) -> np.ndarray:
@@ -218,17 +248,26 @@ def _nearest_classes(queries: DataFrame, listed: DataFrame, index: Index) -> Dat
         own = shared.value
         rows = rows.sort_values(["list", "rep"], ignore_index=True)
         x, v = (np.stack(t.to_list()).astype(np.float64) for t in (rows["vector"], asked["qv"]))
-        turned, reps, bounds = x @ own.rotation, rows["rep"].to_numpy(), asked["bound"].to_numpy()
+        turned, reps, bounds = x @ own.rotation, rows["rep"].to_numpy(), asked["bound"].to_numpy().copy()
         must, turned_v = _visits(own, v, bounds), v @ own.rotation
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, row, score
+        nearest_so_far = np.full((len(asked), k), np.inf)
         lists, starts = np.unique(rows["list"].to_numpy(), return_index=True)
         for i, start, end in zip(lists, starts, [*starts[1:], len(rows)], strict=True):
             who = np.flatnonzero(must[:, i])
             for at in range(0, len(who), 256):
                 some = who[at : at + 256]
                 q, r = adaptive_scan(turned_v[some], turned[start:end], bounds[some], own.config)
-                q, r = some[q], r + start
+                own_q, q, r = q, some[q], r + start
                 score = np.concatenate([np.sqrt(((x[r[j : j + 65536]] - v[q[j : j + 65536]]) ** 2).sum(1)) for j in range(0, max(1, len(q)), 65536)])
+                best = _best(q, score, reps[r], k)
+                own_q, q, r, score = own_q[best], q[best], r[best], score[best]
+                # _best sorts by query: the place of each within its query.
+                new = np.full((len(some), k), np.inf)
+                first = np.flatnonzero(np.r_[True, own_q[1:] != own_q[:-1]]) if len(own_q) else np.zeros(0, np.int64)
+                new[own_q, np.arange(len(own_q)) - np.repeat(first, np.diff(np.r_[first, len(own_q)]))] = score
+                nearest_so_far[some] = np.sort(np.concatenate([nearest_so_far[some], new], 1), 1)[:, :k]
+                bounds[some] = np.minimum(bounds[some], nearest_so_far[some, k - 1])
                 found = tuple(np.concatenate(two) for two in zip(found, (q, r, score), strict=True))
                 if len(found[0]) > 2 * k * len(asked) + 65536:
                     best = _best(found[0], found[2], reps[found[1]], k)
@@ -249,16 +288,15 @@ def search(df: DataFrame, is_query: Column, config: SearchConfig | None = None,
 
     Candidates are all rows but the query's own; ties go to the smaller id.  Rows
     with a null id or vector, a zero vector, or null or non-finite components take
-    no part.  Of rows that repeat an id the one with the smallest vector counts.
-    Vectors are compared with those of their own length.
+    no part.  Rows that repeat an id are rows like any others: each is a candidate,
+    and each that is a query has ranks of its own.  Vectors are compared with those
+    of their own length.
     """
     c = config or SearchConfig()
     ship_code(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
     ok = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.filter(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)))
-    rows = rows.groupBy("id").agg(F.min(F.struct("vector", "query")).alias("_v")).select("id", "_v.vector", "_v.query")
-    rows = materialise(rows, "vectors")
+    rows = materialise(rows.filter(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))), "vectors")
     out = None
     for (d,) in rows.select(F.size("vector").alias("d")).distinct().orderBy("d").collect():  # one search a length
         part = _search_length(rows.filter(F.size("vector") == d), c)
@@ -271,15 +309,18 @@ def _search_length(rows: DataFrame, c: SearchConfig) -> DataFrame:
     if built is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed, index = built
-    asked = rows.filter("query").select("id", "vector")
-    of = materialise(asked.join(listed.select("rep", F.col("vector").alias("_v")), F.col("vector") == F.col("_v")).select("id", "rep", "vector"), "queries")
-    found = _nearest_classes(of.dropDuplicates(["rep"]).select(F.col("rep").alias("q"), F.col("vector").alias("qv")), listed, index)
+    asked = rows.filter("query").select("id", "vector", F.monotonically_increasing_id().alias("row"))
+    of = materialise(asked.join(listed.select("rep", F.col("vector").alias("_v")), F.col("vector") == F.col("_v")).select("id", "row", "rep", "vector"), "queries")
+    found = _nearest_classes(of.groupBy("rep").agg(F.first("vector").alias("qv")).select(F.col("rep").alias("q"), "qv"), listed, index)
     best = Window.partitionBy("q").orderBy("score", "rep")
     top = found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= c.k + 1)
     # Of each query's classes only k + 1 rows can be needed: k, and maybe its own.
     spread = top.select("q", "score", F.explode("members").alias("vec_id"))
     near = Window.partitionBy("q").orderBy("score", "vec_id")
-    few = materialise(spread.withColumn("_k", F.row_number().over(near)).filter(F.col("_k") <= c.k + 1).select("q", "score", "vec_id"), "nearest")
-    rows_of = few.join(of.select(F.col("id").alias("query_id"), F.col("rep").alias("q")), "q").filter("vec_id <> query_id")
-    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return rows_of.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= c.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    few = materialise(spread.withColumn("_k", F.row_number().over(near)).filter(F.col("_k") <= c.k + 1).select("q", "score", "vec_id", "_k"), "nearest")
+    rows_of = few.join(of.select(F.col("id").alias("query_id"), "row", F.col("rep").alias("q")), "q")
+    # A query's own row is one of its class, at distance 0: one such place is passed over.
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0), F.col("_k"))).over(Window.partitionBy("row"))
+    placed = rows_of.withColumn("_own", F.coalesce(own, F.lit(c.k + 2))).filter(F.col("_k") != F.col("_own"))
+    rank = F.col("_k") - (F.col("_k") > F.col("_own")).cast("int")
+    return placed.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= c.k)
