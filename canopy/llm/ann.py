@@ -62,7 +62,8 @@ class Index:
     radius: np.ndarray
     #: Classes that bound distances.
     sample: np.ndarray
-    #: Lists that a query probes at most.
+    sample_list: np.ndarray
+    #: Lists that a query probes, or more where these hold fewer than k + 1 classes.
     probes: int
 
     def blocks(self) -> np.ndarray:
@@ -114,14 +115,16 @@ def _rounding(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 8 * (x.shape[1] + 8) * np.finfo(float).eps * ((x**2).sum(1) + (y**2).sum(1).max(initial=0))
 
 
-def distance_bounds(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
-    """A distance within which each row of x has k rows of the sample; infinite where the sample has fewer."""
+def distance_bounds(x: np.ndarray, sample: np.ndarray, k: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """A distance within which each row of x has k rows of the sample, of those that count for it; infinite where it has fewer."""
     out = np.full(len(x), np.inf)
     if len(sample) >= k:
         norms, slack = (sample**2).sum(1), _rounding(x, sample)
         for at in range(0, len(x), 256):
             q = x[at : at + 256]
             d = (q**2).sum(1)[:, None] + norms - 2 * (q @ sample.T)
+            if counts is not None:
+                d[~counts[at : at + 256]] = np.inf
             out[at : at + 256] = np.sqrt(np.maximum(0, np.partition(d, k - 1, axis=1)[:, k - 1]) + slack[at : at + 256])
     return out
 
@@ -169,20 +172,20 @@ def adaptive_scan(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, c:
 
 
 def _classes(vectors: DataFrame, c: SearchConfig) -> DataFrame:
-    """(rep, vector, members): equal vectors with the k + 1 smallest of their ids."""
+    """(key, rep, vector, members): equal vectors with the k + 1 smallest of their ids; rep is the smallest, key a number of their own once stored."""
     order = Window.partitionBy("vector").orderBy("id")
     # The rank filter is applied before the shuffle too, so a hot vector is k + 1 rows a task.
     few = vectors.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= c.k + 1)
-    return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members")).select(F.element_at("members", 1).alias("rep"), "vector", "members")
+    return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members")).select(F.monotonically_increasing_id().alias("key"), F.element_at("members", 1).alias("rep"), "vector", "members")
 
 
 def build(classes: DataFrame, c: SearchConfig) -> tuple[DataFrame, Index] | None:
-    """(rep, vector, members) -> the same with its list and unit, and the index; None without classes."""
+    """(key, rep, vector, members) -> the same with its list and unit, and the index; None without classes."""
     n = classes.count()
     if not n:
         return None
     lists = int(np.clip(round(n**0.5), 1, c.most_lists))
-    sample = classes.select("rep", "vector").orderBy(F.xxhash64("rep", F.lit(c.seed)), "rep").limit(c.sample).toPandas()
+    sample = classes.select("rep", "vector").orderBy(F.xxhash64("rep", F.lit(c.seed)), "rep", "vector").limit(c.sample).toPandas()
     x = np.stack(sample["vector"].to_list()).astype(np.float64)
     centroids = kmeans(x, lists, c.rounds, c.seed)
     shared = classes.sparkSession.sparkContext.broadcast(centroids)  # most_lists rows at most
@@ -193,26 +196,38 @@ def build(classes: DataFrame, c: SearchConfig) -> tuple[DataFrame, Index] | None
                 x = np.stack(frame["vector"].to_list()).astype(np.float64)
                 own = nearest(x, shared.value)[:, 0]
                 frame = frame.assign(list=own, far=np.sqrt(((x - shared.value[own]) ** 2).sum(1)))
-                yield frame[["list", "far", "rep", "vector", "members"]]
+                yield frame[["list", "far", "key", "rep", "vector", "members"]]
 
-    listed = materialise(classes.select("rep", "vector", "members").mapInPandas(assign, "list long, far double, rep long, vector array<float>, members array<long>"), "lists")
+    listed = materialise(classes.select("key", "rep", "vector", "members").mapInPandas(assign, "list long, far double, key long, rep long, vector array<float>, members array<long>"), "lists")
     sizes, radius = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
     for row in listed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
         sizes[row["list"]], radius[row["list"]] = row["n"], row["far"]
-    index = Index(c, centroids, rotation(x.shape[1], c.seed), sizes, radius, x[: c.bound_rows].astype(np.float32), needed_probes(x, centroids, c))
+    index = Index(c, centroids, rotation(x.shape[1], c.seed), sizes, radius, x[: c.bound_rows].astype(np.float32), nearest(x[: c.bound_rows], centroids)[:, 0], needed_probes(x, centroids, c))
     blocks, first = (F.element_at(F.lit(v.tolist()), (F.col("list") + 1).cast("int")).cast("long") for v in (index.blocks(), index.units()))
-    return listed.withColumn("unit", first + F.pmod(F.xxhash64("rep"), blocks)).drop("far"), index
+    return listed.withColumn("unit", first + F.pmod(F.xxhash64("key"), blocks)).drop("far"), index
 
 
-def _visits(index: Index, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which lists each row of x probes: of the nearest ones those that may hold a class within its bound."""
+def _probed(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists each row of x probes, the nearest ones, and its squared distance from every centroid."""
     c = index.centroids
     d = (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * (x @ c.T)
-    nearest_point = np.sqrt(np.maximum(0, d - _rounding(x, c)[:, None])) - index.radius * (1 + 1e-12)
-    may = (nearest_point <= bounds[:, None]) & (index.sizes > 0)
-    if index.probes < len(c):
-        may &= d <= np.partition(d, index.probes - 1, axis=1)[:, index.probes - 1 : index.probes]
-    return may
+    order = np.argsort(np.where(index.sizes > 0, d, np.inf), axis=1, kind="stable")
+    held_before = np.cumsum(index.sizes[order], axis=1) - index.sizes[order]
+    out = np.empty(d.shape, bool)
+    np.put_along_axis(out, order, (np.arange(len(c)) < index.probes) | (held_before <= index.config.k), 1)
+    return out & (index.sizes > 0), d
+
+
+def _bounds(index: Index, x: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """A distance within which each row of x has k + 1 classes of the lists that it probes."""
+    return distance_bounds(x, sample, index.config.k + 1, _probed(index, x)[0][:, index.sample_list])
+
+
+def _visits(index: Index, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which lists each row of x must visit: of those that it probes the ones that may hold a class within its bound."""
+    probed, d = _probed(index, x)
+    nearest_point = np.sqrt(np.maximum(0, d - _rounding(x, index.centroids)[:, None])) - index.radius * (1 + 1e-12)
+    return probed & (nearest_point <= bounds[:, None])
 
 
 def _best(q: np.ndarray, score: np.ndarray, rep: np.ndarray, k: int) -> np.ndarray:
@@ -236,7 +251,7 @@ def _nearest_classes(queries: DataFrame, listed: DataFrame, index: Index) -> Dat
             for at in range(0, len(frame), 512):
                 some = frame[at : at + 512]
                 x = np.stack(some["qv"].to_list()).astype(np.float64)
-                bounds = distance_bounds(x, sample, k)
+                bounds = _bounds(own, x, sample)
                 must = _visits(own, x, bounds)
                 for q, v, bound, lists in zip(some["q"], some["qv"], bounds, must, strict=True):
                     units = np.unique(np.concatenate([np.arange(first[i], first[i] + blocks[i]) for i in np.flatnonzero(lists)]))
@@ -246,7 +261,7 @@ def _nearest_classes(queries: DataFrame, listed: DataFrame, index: Index) -> Dat
         if not len(rows) or not len(asked):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "members": pd.Series(dtype="object")})
         own = shared.value
-        rows = rows.sort_values(["list", "rep"], ignore_index=True)
+        rows = rows.sort_values(["list", "rep", "key"], ignore_index=True)
         x, v = (np.stack(t.to_list()).astype(np.float64) for t in (rows["vector"], asked["qv"]))
         turned, reps, bounds = x @ own.rotation, rows["rep"].to_numpy(), asked["bound"].to_numpy().copy()
         must, turned_v = _visits(own, v, bounds), v @ own.rotation
@@ -310,15 +325,15 @@ def _search_length(rows: DataFrame, c: SearchConfig) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed, index = built
     asked = rows.filter("query").select("id", "vector", F.monotonically_increasing_id().alias("row"))
-    of = materialise(asked.join(listed.select("rep", F.col("vector").alias("_v")), F.col("vector") == F.col("_v")).select("id", "row", "rep", "vector"), "queries")
-    found = _nearest_classes(of.groupBy("rep").agg(F.first("vector").alias("qv")).select(F.col("rep").alias("q"), "qv"), listed, index)
+    of = materialise(asked.join(listed.select("key", F.col("vector").alias("_v")), F.col("vector") == F.col("_v")).select("id", "row", "key", "vector"), "queries")
+    found = _nearest_classes(of.groupBy("key").agg(F.first("vector").alias("qv")).select(F.col("key").alias("q"), "qv"), listed, index)
     best = Window.partitionBy("q").orderBy("score", "rep")
     top = found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= c.k + 1)
     # Of each query's classes only k + 1 rows can be needed: k, and maybe its own.
     spread = top.select("q", "score", F.explode("members").alias("vec_id"))
     near = Window.partitionBy("q").orderBy("score", "vec_id")
     few = materialise(spread.withColumn("_k", F.row_number().over(near)).filter(F.col("_k") <= c.k + 1).select("q", "score", "vec_id", "_k"), "nearest")
-    rows_of = few.join(of.select(F.col("id").alias("query_id"), "row", F.col("rep").alias("q")), "q")
+    rows_of = few.join(of.select(F.col("id").alias("query_id"), "row", F.col("key").alias("q")), "q")
     # A query's own row is one of its class, at distance 0: one such place is passed over.
     own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0), F.col("_k"))).over(Window.partitionBy("row"))
     placed = rows_of.withColumn("_own", F.coalesce(own, F.lit(c.k + 2))).filter(F.col("_k") != F.col("_own"))

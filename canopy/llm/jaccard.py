@@ -13,7 +13,10 @@ similarity reaches the threshold ``num / 100``.
    In each, an R-tree over count vectors (shingles hashed to groups, a count for
    each group) finds for every document those of other components whose overlap
    can suffice: the sum of the coordinates' minima bounds it from above, for a
-   pair as for a node, by the node's largest counts.
+   pair as for a node, by the node's largest counts.  The tree is loaded in bulk,
+   by size bands and within them by like contents, and all documents descend at
+   once.  Vectors have four times as many groups as shingles, so that a node of a
+   few unrelated documents still excludes most others.
 4. *Verify.*  Surviving pairs are compared on their whole texts.
 
 No step drops a pair that may link: order, components and bounds only save work.
@@ -21,6 +24,7 @@ No step drops a pair that may link: order, components and bounds only save work.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import words
-from canopy.llm.common import lean, materialise, ship_code
+from canopy.llm.common import lean, materialise, scratch, ship_code
 from canopy.llm.components import connected_components
 
 
@@ -48,12 +52,12 @@ class JaccardConfig:
     single_weight: int = 32
     #: Rows of a frequent shingle that one task meets before its bucket is salted.
     salt_rows: int = 200_000
-    #: Rows of a home's buckets in one block of their search.
-    block_rows: int = 16_384
+    #: Bytes of count vectors that one search task holds, about; a bucket of more is split by size bands.
+    block_bytes: int = 16 << 20
     #: Documents in one block of the verification: a task holds the sets of two at a time.
     verify_block: int = 32
-    #: Entries in a leaf of the R-tree.
-    leaf: int = 32
+    #: Entries of a node of the R-tree.
+    leaf: int = 8
     #: Candidate ids that may be broadcast (8 bytes each); beyond, they are joined by shuffling.
     broadcast_ids: int = 1_000_000
     #: Pairs that a search task remembers, to give each out once; repeats beyond are merged after the search.
@@ -70,30 +74,26 @@ def prefix_length(n: int, num: int) -> int:
     return n - -(-num * n // 100) + 1
 
 
+#: A group's count is stored in two bits: this stands for itself and any larger count.
+FULL = 3
+
+
 def groups_for(n: int) -> int:
-    """Groups of a document's count vector: a power of two near its number of shingles, 32 to 16384."""
-    return 1 << int(np.clip(round(float(np.log2(max(n, 1)))), 5, 14))
+    """Groups of a document's count vector: a power of two near four times its number of shingles, 64 to 65536."""
+    return 1 << int(np.clip(round(float(np.log2(4 * max(n, 1)))), 6, 16))
 
 
 def count_vector(shingles: np.ndarray, n: int) -> bytes:
-    """Shingles in each group: half a byte each after a 0, or a byte after a 1; the largest value stands for that or more."""
+    """Shingles in each group, four groups a byte."""
     g = groups_for(n)
-    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
-    if n > 2 * g:
-        return b"\1" + np.minimum(counts, 255).astype(np.uint8).tobytes()
-    half = np.minimum(counts, 15).astype(np.uint8)
-    return b"\0" + (half[0::2] | (half[1::2] << 4)).tobytes()
+    counts = np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g), FULL).astype(np.uint8)
+    return (counts[0::4] | (counts[1::4] << 2) | (counts[2::4] << 4) | (counts[3::4] << 6)).tobytes()
 
 
-def unpack(vector: bytes) -> np.ndarray:
-    """The counts of a vector as one row; 255 stands for any larger count."""
-    raw = np.frombuffer(vector, np.uint8)[1:]
-    if vector[0]:
-        return raw[None]
-    out = np.empty((1, 2 * len(raw)), np.uint8)
-    out[0, 0::2], out[0, 1::2] = raw & 15, raw >> 4
-    out[out == 15] = 255
-    return out
+def unpack(vectors: list[bytes]) -> np.ndarray:
+    """The counts of vectors of one length, a row each."""
+    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)
+    return ((raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(len(vectors), -1)
 
 
 def shingle_sets(column: pa.Array, c: JaccardConfig) -> Iterator[np.ndarray]:
@@ -244,88 +244,108 @@ def _size_fits(a: str, b: str, num: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * num
 
 
-def overlap_bounds(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Upper bounds of |A & B| for rows of count vectors: the sums of coordinate minima; 255 may stand for any count."""
-    low = np.minimum(a, b).astype(np.int64).sum(1)
-    full = (a == 255) & (b == 255)
-    if full.any():
-        low = np.where(full.any(1), np.minimum(na, nb), low)
-    return low
+def overlap_bounds(a: np.ndarray, b: np.ndarray, over_a: np.ndarray, over_b: np.ndarray) -> np.ndarray:
+    """Upper bounds of |A & B| for rows of count vectors: the sums of coordinate minima.
+
+    over: how many shingles a vector's full groups hold beyond what is stored; the
+    lesser one of a pair may be common too.
+    """
+    return np.minimum(a, b).sum(1, dtype=np.int64) + np.minimum(over_a, over_b)
 
 
 def fold(vectors: np.ndarray, g: int) -> np.ndarray:
     """Count vectors over fewer groups."""
-    if vectors.shape[1] == g:
-        return vectors
-    return np.minimum(vectors.reshape(len(vectors), -1, g).sum(1, dtype=np.int64), 255).astype(np.uint8)
+    return vectors if vectors.shape[1] == g else vectors.reshape(len(vectors), -1, g).sum(1, dtype=np.uint8)
+
+
+def size_band(n: np.ndarray, num: int) -> np.ndarray:
+    """Sets that may link lie in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / band_width(num)).astype(np.int64)
+
+
+def band_width(num: int) -> float:
+    """A little more than the largest ratio of sizes that links, as a logarithm: rounding mustn't part such sets by two bands."""
+    return max(1e-3, math.log(100 / num) * (1 + 1e-6))
 
 
 class CountTree:
-    """An R-tree over count vectors of one bucket: leaves of like documents, nodes with their largest counts."""
-
-    def __init__(self, points: np.ndarray, n: np.ndarray, num: int, leaf: int):
-        self.points, self.n, self.num = points, n, num
-        # Sort-tile: by size, then by the heaviest quarter of the groups within slabs of like size.
-        slab = np.arange(len(n))[np.argsort(n, kind="stable")]
-        tiles = []
-        for at in range(0, len(slab), leaf * leaf):
-            part = slab[at : at + leaf * leaf]
-            tiles.append(part[np.argsort(self.points[part].argmax(1), kind="stable")])
-        self.order = np.concatenate(tiles)
-        self.levels = []
-        members = [self.order[i : i + leaf] for i in range(0, len(self.order), leaf)]
-        while True:
-            top = np.stack([self.points[m].max(0) for m in members])
-            self.levels.append((members, top, np.array([n[m].min() for m in members]), np.array([n[m].max() for m in members])))
-            if len(members) <= leaf:
-                break
-            members = [np.concatenate(members[i : i + leaf]) for i in range(0, len(members), leaf)]
-
-    def search(self, i: int) -> np.ndarray:
-        """The points whose overlap with point i may suffice."""
-        x, n = self.points[i][None], int(self.n[i])
-        inside: np.ndarray | None = None
-        for members, top, low, high in reversed(self.levels):
-            fits = (low * self.num <= n * 100) & (high * 100 >= n * self.num)
-            fits[fits] = overlap_bounds(top[fits], x, high[fits], np.full(int(fits.sum()), n)) >= needed_overlap(n + low[fits], self.num)
-            chosen = [m for m, f in zip(members, fits, strict=True) if f]
-            found = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-            inside = found if inside is None else np.intersect1d(inside, found)
-            if not len(inside):
-                return inside
-        fits = (np.minimum(self.n[inside], n) * 100 >= np.maximum(self.n[inside], n) * self.num) & (
-            overlap_bounds(self.points[inside], x, self.n[inside], np.full(len(inside), n)) >= needed_overlap(self.n[inside] + n, self.num)
-        )
-        return inside[fits]
+    """An R-tree over count vectors of one bucket; a node has its documents' largest counts, sizes and components.
+
+    Bulk loading sorts by size band and then by the least few of the occupied
+    groups under fixed permutations, which copies of a text share.
+    """
+
+    def __init__(self, points: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, num: int, leaf: int):
+        rng = np.random.RandomState(7)
+        keys = []
+        for _ in range(3):
+            rank = rng.permutation(points.shape[1])
+            keys.append(np.array([rank[np.flatnonzero(p)].min(initial=len(rank)) for p in points]))
+        self.order = np.lexsort((*keys[::-1], size_band(n, num)))
+        self.points, self.n, self.root, self.block = points[self.order], n[self.order], root[self.order], block[self.order]
+        self.over = self.n - self.points.sum(1, dtype=np.int64)
+        self.num, self.leaf = num, leaf
+        # From the points upwards: (largest counts, excess, sizes and components from and to, blocks from and to).
+        level = (self.points, self.over, self.n, self.n, self.root, self.root, self.block, self.block)
+        self.levels = [level]
+        while len(level[0]) > leaf:
+            at = np.arange(0, len(level[0]), leaf)
+            level = tuple((np.minimum if k in (2, 4, 6) else np.maximum).reduceat(x, at, axis=0) for k, x in enumerate(level))
+            self.levels.append(level)
+        #: Bounds computed at each level from the top, and how many let the search go on.
+        self.tested, self.passed = [0] * len(self.levels), [0] * len(self.levels)
+
+    def join(self, two: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points (indices as given) of different components whose overlap may suffice; of different blocks if ``two``."""
+        step = max(1, (1 << 22) // self.points.shape[1])
+        for at in range(0, len(self.n), step):
+            p = np.arange(at, min(len(self.n), at + step))
+            top = len(self.levels[-1][0])
+            yield from self._descend(np.repeat(p, top), np.tile(np.arange(top), len(p)), len(self.levels) - 1, two, step)
+
+    def _descend(self, p: np.ndarray, node: np.ndarray, k: int, two: bool, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(p), step):
+            q, m = p[at : at + step], node[at : at + step]
+            most, over, low, high, first, last, block, to_block = (x[m] for x in self.levels[k])
+            n = self.n[q]
+            # What comes before a point in the tree's order has met it already.
+            go = (np.minimum((m + 1) * self.leaf**k, len(self.n)) - 1 > q) & (low * self.num <= n * 100) & (high * 100 >= n * self.num)
+            go &= (first != self.root[q]) | (last != self.root[q])
+            if two:
+                go &= (block != self.block[q]) | (to_block != self.block[q])
+            q, m, n = q[go], m[go], n[go]
+            self.tested[-1 - k] += len(q)
+            fits = overlap_bounds(most[go], self.points[q], over[go], self.over[q]) >= needed_overlap(n + np.maximum(low[go], -(-n * self.num // 100)), self.num)
+            q, m = q[fits], m[fits]
+            self.passed[-1 - k] += len(q)
+            if not len(q):
+                continue
+            if not k:
+                yield self.order[q], self.order[m]
+                continue
+            below = len(self.levels[k - 1][0])
+            child = m[:, None] * self.leaf + np.arange(self.leaf)
+            inside = child < below
+            yield from self._descend(np.repeat(q, inside.sum(1)), child[inside], k - 1, two, step)
 
 
 def _bucket_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, vectors: list[bytes], c: JaccardConfig) -> Iterator[tuple[int, int]]:
     """Pairs of a bucket's documents in different components whose overlap may suffice; across blocks where it has two."""
-    two = block.min() != block.max()
-    rows = [unpack(v) for v in vectors]
-    groups = np.array([r.shape[1] for r in rows])
-    if len(node) <= c.leaf:
-        i, j = np.triu_indices(len(node), 1)
-        k = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * c.num)
-        if two:
-            k &= block[i] != block[j]
-        i, j = i[k], j[k]
-        least = np.minimum(groups[i], groups[j])
-        for g in np.unique(least):
-            p, q = i[least == g], j[least == g]
-            va, vb = (np.concatenate([fold(rows[x], g) for x in side.tolist()]) for side in (p, q))
-            k = overlap_bounds(va, vb, n[p], n[q]) >= needed_overlap(n[p] + n[q], c.num)
-            yield from zip(node[p[k]].tolist(), node[q[k]].tolist(), strict=True)
-        return
+    two = bool(block.min() != block.max())
+    groups = 4 * np.array([len(v) for v in vectors])
     # Sets that may link differ in groups by a factor of two at most: one tree for each number of groups, with the next.
-    for g in np.unique(groups):
-        inside = np.flatnonzero((groups == g) | (groups == 2 * g))
-        tree = CountTree(np.concatenate([fold(rows[x], g) for x in inside.tolist()]), n[inside], c.num, c.leaf)
-        for at in np.flatnonzero(groups[inside] == g).tolist():
-            i = inside[at]
-            for j in inside[tree.search(at)].tolist():
-                if (j > i or groups[j] != g) and root[i] != root[j] and (not two or block[i] != block[j]):
-                    yield int(node[i]), int(node[j])
+    for g in np.unique(groups).tolist():
+        own, twice = np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
+        inside = np.concatenate([own, twice])
+        if len(inside) < 2:
+            continue
+        points = unpack([vectors[i] for i in own])
+        if len(twice):
+            points = np.concatenate([points, fold(unpack([vectors[i] for i in twice]), g)])
+        tree = CountTree(points, n[inside], root[inside], block[inside], c.num, c.leaf)
+        for i, j in tree.join(two):
+            here = (i < len(own)) | (j < len(own))  # others meet in their own tree
+            yield from zip(node[inside[i[here]]].tolist(), node[inside[j[here]]].tolist(), strict=True)
 
 
 def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataFrame:
@@ -426,6 +446,35 @@ def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
     return rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("other").asc_nulls_first()).mapInArrow(lean(run), "a long, b long")
 
 
+def _vector_bytes(n: str) -> Column:
+    return F.least(F.greatest(F.col(n), F.lit(16)), F.lit(16384))
+
+
+def _placed(rows: DataFrame, c: JaccardConfig) -> DataFrame:
+    """(shingle, node, n, root, home) -> (home, shingle, lo, hi, block, node, n, root): the tasks that search the buckets.
+
+    Buckets of one home meet in as many tasks as their vectors need, each bucket in
+    one.  A bucket too large for a task is dealt out by size bands, each document
+    to its own and the one below, where those it may link with are; a band that is
+    still too large in blocks, each pair of which is a task.
+    """
+    zero = F.lit(0).cast("long")
+    sizes = materialise(rows.groupBy("home", "shingle").agg(F.sum(_vector_bytes("n")).alias("_bytes")), "sizes")
+    of_home = sizes.filter(F.col("_bytes") <= c.block_bytes).groupBy("home").agg(F.sum("_bytes").alias("_all"))
+    hot = sizes.filter(F.col("_bytes") > c.block_bytes).select("home", "shingle")
+    small = sizes.filter(F.col("_bytes") <= c.block_bytes).join(of_home, "home").select("home", "shingle", F.pmod(F.xxhash64("shingle"), F.ceil(F.col("_all") / c.block_bytes).cast("long")).alias("lo"))
+    out = rows.join(small, ["home", "shingle"]).select("home", "shingle", "lo", F.col("lo").alias("hi"), zero.alias("block"), "node", "n", "root")
+    if hot.isEmpty():
+        return out
+    band = F.floor(F.ln(F.greatest("n", F.lit(1))) / band_width(c.num)).cast("long")
+    dealt = rows.join(hot, ["home", "shingle"]).withColumn("_band", F.explode(F.array(band, band - 1))).withColumn("home", F.xxhash64("home", "shingle", "_band"))
+    dealt = materialise(dealt.select("home", "shingle", "node", "n", "root"), "dealt")
+    blocks = dealt.groupBy("home", "shingle").agg(F.ceil(F.sum(_vector_bytes("n")) / c.block_bytes).cast("long").alias("_blocks"))
+    dealt = dealt.join(blocks, ["home", "shingle"]).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    return out.unionByName(dealt.select("home", "shingle", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "node", "n", "root"))
+
+
 def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
 
@@ -469,18 +518,24 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
                 na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
                 va, vb = (batch.column(k).to_pylist() for k in ("va", "vb"))
                 keep = np.zeros(len(na), bool)
-                g = np.minimum([groups_for(x) for x in na.tolist()], [groups_for(x) for x in nb.tolist()])
-                for size in np.unique(g):
-                    at = np.flatnonzero(g == size)
-                    p, q = (np.concatenate([fold(unpack(v[i]), size) for i in at]) for v in (va, vb))
-                    keep[at] = overlap_bounds(p, q, na[at], nb[at]) >= needed_overlap(na[at] + nb[at], c.num)
+                shapes: dict[tuple[int, int], list[int]] = {}
+                for i, (x, y) in enumerate(zip(va, vb, strict=True)):
+                    shapes.setdefault((len(x), len(y)), []).append(i)
+                for (x, y), rows in shapes.items():
+                    g, step = 4 * min(x, y), max(1, (1 << 22) // (4 * max(x, y)))
+                    for k in range(0, len(rows), step):
+                        at = np.array(rows[k : k + step])
+                        p, q = (unpack([v[i] for i in at]) for v in (va, vb))
+                        over = (m[at] - v.sum(1, dtype=np.int64) for m, v in ((na, p), (nb, q)))
+                        keep[at] = overlap_bounds(fold(p, g), fold(q, g), *over) >= needed_overlap(na[at] + nb[at], c.num)
                 yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
         return pairs.join(x, "a").join(y, "b").select("a", "b", "home", "na", "va", "nb", "vb").mapInArrow(lean(run), "a long, b long, home long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        return materialise(_verify(pairs, texts_of(pairs), c), "links")
+        with scratch(docs.sparkSession) as own:
+            pairs = materialise(pairs, "pairs")
+            return own.keep(materialise(_verify(pairs, texts_of(pairs), c), "links"))
 
     first = buckets.filter((F.col("node") != F.col("pivot")) & _size_fits("n", "pivot_n", c.num)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().withColumn("home", F.col("a"))
     links = verified(bounded(first))
@@ -494,9 +549,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
         several = own.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_rows"), F.bit_xor(F.xxhash64("node")).alias("_sum"), F.max(F.struct("weight", "root")).alias("_home"))
         # A passage routes the same documents under each of its shingles: one bucket of such is enough.
         one = several.filter("_lo <> _hi").groupBy("_rows", "_sum", "_lo", "_hi", F.col("_home.root").alias("home")).agg(F.min("shingle").alias("shingle"))
-        one = materialise(one.select("shingle", "_rows", "home"), "mixed")
-        one = one.join(one.groupBy("home").agg(F.sum("_rows").alias("_all")), "home").select("shingle", "home", "_all")
-        return materialise(own.join(one, "shingle"), "mixed")
+        return materialise(own.join(one.select("shingle", "home"), "shingle"), "mixed")
 
     rest = mixed(buckets)
     for _ in range(c.pivot_rounds - 1):
@@ -508,10 +561,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig | None = None) -> Dat
         roots = connected_components(links)
         rest = mixed(rest)
 
-    rest = rest.withColumn("_blocks", F.ceil(F.col("_all") / c.block_rows).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), "_blocks"))
-    rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    rest = rest.select("home", "shingle", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "node", "n", "root")
-    links = links.unionAll(verified(_search_buckets(rest, sets, c)))
+    links = links.unionAll(verified(_search_buckets(_placed(rest, c), sets, c)))
     roots = connected_components(links)
 
     named = sets.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

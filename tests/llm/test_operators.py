@@ -127,7 +127,7 @@ def test_near_duplicates_lose_no_link(spark):
     texts += [rng.choices(vocabulary, k=rng.randint(1, 400)) for _ in range(40)] + [[], ["a"], ["A"], ["a", "b", "c"]]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (0, " ".join(texts[0])), (None, "x y z"), (None, "p q r s t u")]
     df, want = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)), near(rows)
-    tight = jaccard.JaccardConfig(frequent=4, salt_rows=16, block_rows=64, verify_block=4, leaf=8, broadcast_ids=0, single_weight=2, pivot_rounds=1)
+    tight = jaccard.JaccardConfig(frequent=4, salt_rows=16, block_bytes=4096, verify_block=4, leaf=4, broadcast_ids=0, single_weight=2, pivot_rounds=1)
     for c in (jaccard.JaccardConfig(), tight):
         assert sorted(map(tuple, jaccard.near_duplicates(df, c).collect()), key=str) == want
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
