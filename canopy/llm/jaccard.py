@@ -60,8 +60,9 @@ class JaccardConfig:
     leaf: int = 8
     #: Candidate ids that may be broadcast (8 bytes each); beyond, they are joined by shuffling.
     broadcast_ids: int = 1_000_000
-    #: Pairs that a search task remembers, to give each out once; repeats beyond are merged after the search.
-    seen_pairs: int = 200_000
+    #: Pairs that a search task tests and gives out at once, and those that it remembers so as to give each out once (8 bytes each; repeats beyond are merged after the search).
+    bulk_pairs: int = 200_000
+    seen_pairs: int = 4_000_000
     pivot_rounds: int = 2
 
 
@@ -279,8 +280,11 @@ class CountTree:
         rng = np.random.RandomState(7)
         keys = []
         for _ in range(3):
-            rank = rng.permutation(points.shape[1])
-            keys.append(np.array([rank[np.flatnonzero(p)].min(initial=len(rank)) for p in points]))
+            rank, least = rng.permutation(points.shape[1]).astype(np.int32), np.empty(len(points), np.int32)
+            step = max(1, (1 << 20) // points.shape[1])
+            for at in range(0, len(points), step):
+                least[at : at + step] = np.where(points[at : at + step] > 0, rank, len(rank)).min(1)
+            keys.append(least)
         self.order = np.lexsort((*keys[::-1], size_band(n, num)))
         self.points, self.n, self.root, self.block = points[self.order], n[self.order], root[self.order], block[self.order]
         self.over = self.n - self.points.sum(1, dtype=np.int64)
@@ -329,51 +333,134 @@ class CountTree:
             yield from self._descend(np.repeat(q, inside.sum(1)), child[inside], k - 1, two, step)
 
 
-def _bucket_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, vectors: list[bytes], c: JaccardConfig) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket's documents in different components whose overlap may suffice; across blocks where it has two."""
-    two = bool(block.min() != block.max())
-    groups = 4 * np.array([len(v) for v in vectors])
+class Vectors:
+    """The count vectors of a search task, unpacked once, as one matrix for each number of groups."""
+
+    def __init__(self, packed: dict[int, bytes]):
+        self.nodes = np.array(sorted(packed), np.int64)
+        vectors = [packed[x] for x in self.nodes.tolist()]
+        self.groups = 4 * np.array([len(v) for v in vectors], np.int64)
+        self.row, self.matrix = np.zeros(len(vectors), np.int64), {}
+        for g in np.unique(self.groups).tolist():
+            own = np.flatnonzero(self.groups == g)
+            self.row[own] = np.arange(len(own))
+            self.matrix[g] = unpack([vectors[i] for i in own])
+
+    def find(self, node: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.nodes, node)
+
+    def take(self, at: np.ndarray, g: int) -> np.ndarray:
+        """The vectors of documents that have one number of groups, over g groups."""
+        return fold(self.matrix[int(self.groups[at[0]])][self.row[at]], g)
+
+
+def _may_link(v: Vectors, i: np.ndarray, j: np.ndarray, ni: np.ndarray, nj: np.ndarray, c: JaccardConfig) -> np.ndarray:
+    """Which pairs of documents have count vectors whose overlap may suffice."""
+    keep = np.zeros(len(i), bool)
+    shape = v.groups[i] * (1 << 20) + v.groups[j]
+    for x in np.unique(shape).tolist():
+        rows = np.flatnonzero(shape == x)
+        g = int(min(v.groups[i[rows[0]]], v.groups[j[rows[0]]]))
+        step = max(1, (1 << 22) // g)
+        for k in range(0, len(rows), step):
+            at = rows[k : k + step]
+            p, q = v.take(i[at], g), v.take(j[at], g)
+            over = (n[at] - m.sum(1, dtype=np.int64) for n, m in ((ni, p), (nj, q)))
+            keep[at] = overlap_bounds(p, q, *over) >= needed_overlap(ni[at] + nj[at], c.num)
+    return keep
+
+
+def _tree_pairs(v: Vectors, at: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, c: JaccardConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's documents (places in it) in different components whose overlap may suffice; across blocks where it has two."""
+    two, groups = bool(block.min() != block.max()), v.groups[at]
     # Sets that may link differ in groups by a factor of two at most: one tree for each number of groups, with the next.
     for g in np.unique(groups).tolist():
         own, twice = np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
         inside = np.concatenate([own, twice])
         if len(inside) < 2:
             continue
-        points = unpack([vectors[i] for i in own])
-        if len(twice):
-            points = np.concatenate([points, fold(unpack([vectors[i] for i in twice]), g)])
+        points = np.concatenate([v.take(at[x], g) for x in (own, twice) if len(x)])
         tree = CountTree(points, n[inside], root[inside], block[inside], c.num, c.leaf)
         for i, j in tree.join(two):
             here = (i < len(own)) | (j < len(own))  # others meet in their own tree
-            yield from zip(node[inside[i[here]]].tolist(), node[inside[j[here]]].tolist(), strict=True)
+            yield inside[i[here]], inside[j[here]]
 
 
 def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataFrame:
     """(home, shingle, lo, hi, block, node, n, root) -> candidate pairs (a, b, home).
 
     Buckets with one home meet in a task, which gets each document's count vector
-    once and gives out each pair once.
+    once.  A bucket of more documents than a node holds is searched by a tree; the
+    pairs of smaller ones, which repeat from bucket to bucket, are tested once, in
+    bulk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        vectors: dict[int, bytes] = {}
+        names = ["a", "b", "home"]
+        packed: dict[int, bytes] = {}
+        table: Vectors | None = None
         at: tuple[int, ...] | None = None
         bucket: tuple | None = None
         held: list[list[np.ndarray]] = []
-        found: list[tuple[int, int, int]] = []
+        pending: list[tuple[np.ndarray, ...]] = []  # places in the table, sizes, whether tested
+        waiting = 0
+        seen = np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+
+        def offer(i: np.ndarray, j: np.ndarray, ni: np.ndarray, nj: np.ndarray, tested: bool) -> None:
+            nonlocal waiting
+            low = i < j
+            pending.append((np.where(low, i, j), np.where(low, j, i), np.where(low, ni, nj), np.where(low, nj, ni), np.full(len(i), tested)))
+            waiting += len(i)
+            if waiting > c.bulk_pairs:
+                give()
 
         def search() -> None:
             """The open bucket, now that it is whole."""
-            if held:
-                node, n, root, block = (np.concatenate(x) for x in zip(*held, strict=True))
-                for a, b in _bucket_pairs(node, n, root, block, [vectors[x] for x in node.tolist()], c):
-                    pair = (min(a, b), max(a, b))
-                    if pair not in seen:
-                        if len(seen) < c.seen_pairs:
-                            seen.add(pair)
-                        found.append((*pair, at[0]))
-                held.clear()
+            nonlocal table
+            if not held:
+                return
+            table = table or Vectors(packed)
+            node, n, root, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            place = table.find(node)
+            if len(node) > c.leaf:
+                for i, j in _tree_pairs(table, place, n, root, block, c):
+                    offer(place[i], place[j], n[i], n[j], True)
+                return
+            i, j = np.triu_indices(len(node), 1)
+            k = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * c.num)
+            if block.min() != block.max():
+                k &= block[i] != block[j]
+            if k.any():
+                offer(place[i[k]], place[j[k]], n[i[k]], n[j[k]], False)
+
+        def give() -> None:
+            """The pending pairs that are new and, where a tree hasn't tested them, may link."""
+            nonlocal waiting, seen
+            if not pending:
+                return
+            i, j, ni, nj, ok = (np.concatenate(x) for x in zip(*pending, strict=True))
+            pending.clear()
+            waiting = 0
+            if not len(i):
+                return
+            key = i * len(table.nodes) + j
+            order = np.lexsort((~ok, key))
+            first = order[np.r_[True, key[order][1:] != key[order][:-1]]]
+            first = first[~np.isin(key[first], seen, assume_unique=True)]
+            if len(seen) < c.seen_pairs:
+                seen = np.concatenate([seen, key[first]])
+            i, j, ni, nj, ok = i[first], j[first], ni[first], nj[first], ok[first]
+            rest = np.flatnonzero(~ok)
+            ok[rest] = _may_link(table, i[rest], j[rest], ni[rest], nj[rest], c)
+            found.append((table.nodes[i[ok]], table.nodes[j[ok]], at[0]))
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            home = np.repeat(np.array([x[2] for x in found], np.int64), [len(x[0]) for x in found])
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(home)], names=names)
 
         for batch in batches:
             key = [batch.column(k).to_numpy() for k in range(3)]
@@ -390,15 +477,16 @@ def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataF
                     search()
                     bucket = own
                 if here != at:
-                    at, vectors = here, {}
+                    give()
+                    at, packed, table, seen = here, {}, None, seen[:0]
                 if vector_row[i]:
-                    vectors.update(zip(rest[0][i:j].tolist(), batch.column(8).slice(i, j - i).to_pylist(), strict=True))
+                    packed.update(zip(rest[0][i:j].tolist(), batch.column(8).slice(i, j - i).to_pylist(), strict=True))
                 else:
                     held.append([x[i:j] for x in rest])
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "home"])
-            found.clear()
+            yield out()
         search()
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "home"])
+        give()
+        yield out()
 
     keys, none = ["home", "lo", "hi"], F.lit(None).cast("long")
     members = rows.select(*keys, "node").distinct().join(sets.select("node", "vector"), "node")
