@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -65,22 +66,30 @@ def cooling_rate(log_t: Column, log_z: Column, tables: list[list[float]]) -> Col
     Metallicities are clamped at both ends.
     """
     grid = [d + math.log10(SOLAR_METALLICITY) for d in COOLING_DEX]
+    # The tables one after the other: the rate of metallicity i at temperature k is number i * LOG_T_ROWS + k.
+    flat = F.array(*[F.lit(float(x)) for row in tables for x in row])
+    zs = F.array(*[F.lit(g) for g in grid])
     z = F.greatest(F.lit(grid[0]), F.least(F.lit(grid[-1]), log_z))
     t = F.greatest(F.lit(LOG_T_FIRST), log_t)
-    k = F.least(F.floor((t - LOG_T_FIRST) / LOG_T_STEP), F.lit(LOG_T_ROWS - 2)).cast("int")
-    # The interval: how many inner grid points lie below z.
-    i = sum((F.when(z > g, 1).otherwise(0) for g in grid[1:-1]), F.lit(0))
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in tables])
-    zs = F.array(*[F.lit(g) for g in grid])
-    at = (t - LOG_T_FIRST - LOG_T_STEP * k) / LOG_T_STEP
 
-    def rate(row: Column) -> Column:
-        low, high = F.element_at(row, k + 1), F.element_at(row, k + 2)
-        return low + (high - low) * at
+    def place(x: Column) -> Column:
+        """The interval of each coordinate."""
+        k = F.least(F.floor((x["t"] - LOG_T_FIRST) / LOG_T_STEP), F.lit(LOG_T_ROWS - 2)).cast("int")
+        i = sum((F.when(x["z"] > g, 1).otherwise(0) for g in grid[1:-1]), F.lit(0))
+        return _once(F.struct(x["t"].alias("t"), x["z"].alias("z"), k.alias("k"), i.alias("i"), (i * LOG_T_ROWS + k + 1).alias("at")), blend)
+
+    def blend(x: Column) -> Column:
+        part = (x["t"] - LOG_T_FIRST - LOG_T_STEP * x["k"]) / LOG_T_STEP
+        first, second = (F.element_at(flat, x["at"] + j) * (1 - part) + F.element_at(flat, x["at"] + j + 1) * part for j in (0, LOG_T_ROWS))
+        z0, z1 = F.element_at(zs, x["i"] + 1), F.element_at(zs, x["i"] + 2)
+        return F.pow(F.lit(10.0), first + (second - first) / (z1 - z0) * (x["z"] - z0))
+
+    return _once(F.struct(t.alias("t"), z.alias("z")), place)
+
 
-    first, second = rate(F.element_at(rows, i + 1)), rate(F.element_at(rows, i + 2))
-    z0, z1 = F.element_at(zs, i + 1), F.element_at(zs, i + 2)
-    return F.pow(F.lit(10.0), first + (second - first) / (z1 - z0) * (z - z0))
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 @dataclass(frozen=True)

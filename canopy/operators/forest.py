@@ -8,6 +8,7 @@ trees of a snapshot advance in one plan.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,8 @@ from canopy.storage import store
 from canopy.units import Cosmology
 
 TREE = ["file_nr", "tree_id"]
-Pipeline = Callable[[DataFrame], DataFrame]
+#: What physics does to the objects of one snapshot, of this redshift.
+Pipeline = Callable[[DataFrame, float], DataFrame]
 _GALAXY = [*[p.name for p in GALAXY], "TotalSatelliteBaryons", "TestDummyProperty"]
 
 
@@ -87,7 +89,7 @@ def inherit(objects: DataFrame, halos: DataFrame) -> DataFrame:
     """
     here = halos.select(
         *TREE, F.col("halo_nr").alias("Descendant"), "is_root", "m_halo", "r_halo", "v_halo", "fof_ord", F.col("FirstHaloInFOFgroup").alias("fof_root"), F.col("age").alias("age_now"), F.col("SnapNum").alias("snap_now"),
-        *[F.col(c).alias(f"h_{c}") for c in ("MostBoundID", "Pos", "Vel", "Len", "Vmax")],
+        *[F.col(c).alias(f"h_{c}") for c in ("MostBoundID", "Pos", "Vel", "Len", "Vmax", "Spin")],
     )
     o = first_occupied(objects).join(here, [*TREE, "Descendant"])
     o = o.filter(~((F.col("Type") < 2) & (F.col("MergeStatus") != 0)))
@@ -109,11 +111,12 @@ def inherit(objects: DataFrame, halos: DataFrame) -> DataFrame:
         F.when(own, F.lit(999.9)).when(falls, F.lit(0.0)).otherwise(F.col("MergTime")).cast("float").alias("MergTime"),
         pick(falls, F.col("Mvir"), "infallMvir").alias("infallMvir"), pick(falls, F.col("Vvir"), "infallVvir").alias("infallVvir"), pick(falls, F.col("Vmax"), "infallVmax").alias("infallVmax"),
         (F.col("age_prog") - F.col("age_now")).cast("float").alias("dT"), "MergeStatus", "mergeType", "mergeIntoID", "mergeIntoSnapNum", *_GALAXY,
+        F.col("h_Spin").alias("Spin"), "born", "mergeIntoBorn", F.col("SnapNum").alias("prev_snap"),
     )
 
 
 def create(halos: DataFrame, inherited: DataFrame) -> DataFrame:
-    """A fresh object for each group root that inherits none."""
+    """A fresh object for each group root that inherits none; ``born``, its first halo, tells it from all others of the tree."""
     held = inherited.select(*TREE, "halo_nr").distinct()
     new = halos.filter("is_root").join(held, [*TREE, "halo_nr"], "left_anti")
 
@@ -127,11 +130,12 @@ def create(halos: DataFrame, inherited: DataFrame) -> DataFrame:
         F.col("r_halo").alias("Rvir"), F.col("v_halo").alias("Vvir"), real(999.9).alias("MergTime"),
         *[real(-1.0).alias(c) for c in ("infallMvir", "infallVvir", "infallVmax")], real(-1.0).alias("dT"),
         F.lit(0).alias("MergeStatus"), F.lit(0).alias("mergeType"), F.lit(-1).alias("mergeIntoID"), F.lit(-1).alias("mergeIntoSnapNum"), *zeros,
+        "Spin", F.col("halo_nr").alias("born"), F.lit(-1).alias("mergeIntoBorn"), F.lit(-1).alias("prev_snap"),
     )
 
 
-def advance(objects: DataFrame, halos: DataFrame, pipeline: Pipeline | None = None) -> DataFrame:
-    """One snapshot: inherit, create, number within halo and group, run the physics, keep what hasn't merged."""
+def advance(objects: DataFrame, halos: DataFrame, pipeline: Pipeline | None = None, redshift: float = 0.0) -> DataFrame:
+    """One snapshot: inherit, create, number within halo and group, run the physics.  Merged objects keep their rows here."""
     moved = inherit(objects, halos)
     both = moved.unionByName(create(halos, moved))
     in_halo = Window.partitionBy(*TREE, "halo_nr").orderBy("chain_ord", "object_ord")
@@ -140,25 +144,53 @@ def advance(objects: DataFrame, halos: DataFrame, pipeline: Pipeline | None = No
     both = both.withColumns({"group_ord": F.row_number().over(in_group) - 1, "_next_ord": F.row_number().over(in_halo) - 1, "_centrals": centrals})
     both = both.filter(F.when(F.col("_centrals") == 1, True).otherwise(F.raise_error(F.lit("a group needs one central object")).cast("boolean")))
     both = both.drop("object_ord", "_centrals").withColumnRenamed("_next_ord", "object_ord")
-    return (pipeline(both) if pipeline else both).filter("MergeStatus = 0")
+    return pipeline(both, redshift) if pipeline else both
+
+
+def write_back(objects: DataFrame, events: DataFrame) -> DataFrame:
+    """objects of all snapshots, with what became of those that merged later noted in their last row.
+
+    events: rows of merged objects as physics left them, with prev_snap, the
+    snapshot where the object was stored last.
+    """
+    marks = ["MergeStatus", "mergeType", "mergeIntoBorn", "mergeIntoSnapNum"]
+    known = events.select(*TREE, "born", F.col("prev_snap").alias("SnapNum"), *[F.col(c).alias(f"_{c}") for c in marks])
+    out = objects.join(known, [*TREE, "born", "SnapNum"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in marks})
+    return out.select(objects.columns)
 
 
 def evolve(halos: DataFrame, snaps: DataFrame, particle_mass: float, cosmology: Cosmology | None = None, pipeline: Pipeline | None = None) -> DataFrame:
-    """All objects of all snapshots.  Each snapshot's objects are stored, which keeps plans short and survives lost executors."""
+    """All objects of all snapshots.
+
+    Each snapshot's objects are stored, which keeps plans short and survives lost
+    executors; a snapshot reads only those stored ones that hold progenitors of
+    its halos.  Objects that merged are dropped where that happens, and noted in
+    their last row.
+    """
+    spark = halos.sparkSession
     halos = store(with_virial(link(halos), snaps, particle_mass, cosmology or Cosmology()), "halos")
-    step = halos.select(*TREE, F.col("halo_nr").alias("prog"), "Descendant", "chain_ord", F.col("Len").alias("prog_len"), F.col("age").alias("age_prog"))
+    step = halos.select(*TREE, F.col("halo_nr").alias("prog"), "Descendant", "chain_ord", F.col("Len").alias("prog_len"), F.col("age").alias("age_prog"), F.col("SnapNum").alias("prog_snap"))
     later = halos.select(*TREE, F.col("halo_nr").alias("Descendant"), F.col("SnapNum").alias("desc_snap"))
     step = store(step.filter("Descendant >= 0").join(later, [*TREE, "Descendant"]), "steps")
-    done: DataFrame | None = None
-    for (snap,) in halos.select("SnapNum").distinct().orderBy("SnapNum").collect():  # the snapshots of a simulation: at most hundreds
-        here = halos.filter(F.col("SnapNum") == snap)
-        if done is None:
-            seed = create(here, here.select(*TREE, "halo_nr").limit(0)).limit(0)
-            done = seed.withColumn("group_ord", F.lit(0))
-        moving = step.filter(F.col("desc_snap") == snap).drop("desc_snap")
-        # Progenitors may lie several snapshots back: every stored object is looked at, and each has one descendant.
-        objects = done.drop("chain_ord", "fof_root", "fof_ord").withColumnRenamed("halo_nr", "prog").join(moving, [*TREE, "prog"])
-        done = done.unionByName(store(advance(objects, here, pipeline), f"snapshot{snap}"))
-    if done is None:
+    # One row a snapshot, and one a pair of snapshots: at most hundreds, and some thousands.
+    redshifts = {r["SnapNum"]: r["z"] for r in halos.groupBy("SnapNum").agg(F.max("z").alias("z")).collect()}
+    sources: dict[int, list[int]] = {}
+    for r in step.select("prog_snap", "desc_snap").distinct().collect():
+        sources.setdefault(r["desc_snap"], []).append(r["prog_snap"])
+    if not redshifts:
         raise ValueError("there are no halos")
-    return done
+    done: dict[int, DataFrame] = {}
+    seed = create(halos, halos.select(*TREE, "halo_nr").limit(0)).limit(0).withColumn("group_ord", F.lit(0))
+    for snap in sorted(redshifts):
+        here = halos.filter(F.col("SnapNum") == snap)
+        moving = step.filter(F.col("desc_snap") == snap).drop("desc_snap", "prog_snap")
+        # Progenitors may lie several snapshots back; each has one descendant.
+        stored = [done[s].filter("MergeStatus = 0") for s in sorted(sources.get(snap, ()))]
+        held = reduce(DataFrame.unionByName, stored) if stored else seed
+        objects = held.drop("chain_ord", "fof_root", "fof_ord").withColumnRenamed("halo_nr", "prog").join(moving, [*TREE, "prog"])
+        done[snap] = store(advance(objects, here, pipeline, redshifts[snap]), f"snapshot{snap}")
+    first = next(iter(done.values()))
+    everything = spark.read.schema(first.schema).parquet(*[x._stored_at for x in done.values()])
+    events = everything.filter("MergeStatus > 0")
+    kept = everything.filter("MergeStatus = 0")
+    return kept if events.isEmpty() else write_back(kept, events)

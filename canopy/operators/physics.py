@@ -29,6 +29,8 @@ class Context:
     cosmology: Cosmology = field(default_factory=Cosmology)
     parameters: dict[str, dict] = field(default_factory=dict)
     cooling_tables: list[list[float]] = field(default_factory=list)
+    #: Whether objects are stored after each module, which keeps plans short.
+    store_between: bool = False
 
 
 def set_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -62,23 +64,28 @@ def infall(df: DataFrame, ctx: Context, fraction: float = 0.17, reionization: bo
     own = {c: total(c) for c in ("StellarMass", "ColdGas", "HotGas", "EjectedMass", "MetalsEjectedMass", "ICS", "MetalsICS")}
     falling = modifier() * fraction * d("Mvir") - (own["StellarMass"] + own["ColdGas"] + own["HotGas"] + own["EjectedMass"] + own["ICS"])
     satellites = F.sum(F.when(~central(), d("StellarMass") + d("ColdGas") + d("HotGas")).otherwise(0.0)).over(group())
-    df = df.withColumns({"_fall": falling, "_sats": satellites, "_ej": F.greatest(own["EjectedMass"], F.lit(0.0)), "_ics": F.greatest(own["ICS"], F.lit(0.0)), "_zej": own["MetalsEjectedMass"], "_zics": own["MetalsICS"]})
+    # A group without a central stays as it is.
+    led = F.max(central()).over(group())
+    df = df.withColumns({"_fall": falling, "_sats": satellites, "_ej": F.greatest(own["EjectedMass"], F.lit(0.0)), "_ics": F.greatest(own["ICS"], F.lit(0.0)), "_zej": own["MetalsEjectedMass"], "_zics": own["MetalsICS"], "_led": led})
     gathered = {
         "EjectedMass": F.col("_ej"), "ICS": F.col("_ics"), "TotalSatelliteBaryons": F.col("_sats"),
         "MetalsEjectedMass": F.greatest(F.lit(0.0), F.least(F.col("_zej"), F.col("_ej"))), "MetalsICS": F.greatest(F.lit(0.0), F.least(F.col("_zics"), F.col("_ics"))),
     }
     zero = {"EjectedMass", "ICS", "MetalsEjectedMass", "MetalsICS"}
-    df = set_columns(df, {c: F.when(central(), v).otherwise(F.lit(0.0) if c in zero else F.col(c)) for c, v in gathered.items()})
+    df = set_columns(df, {c: F.when(central(), v).when(F.col("_led") & F.lit(c in zero), F.lit(0.0)).otherwise(F.col(c)) for c, v in gathered.items()})
     df = add_infall(df, F.when(central(), F.col("_fall")).otherwise(F.lit(0.0)), central())
-    # What satellites hold beyond their share goes a step at a time; sums over the group commute.
-    excess = (d("StellarMass") + d("ColdGas") + d("HotGas") + d("EjectedMass") + d("ICS") - modifier() * fraction * d("Mvir")) / steps
-    taken = F.when((F.col("Type") == 1) & (excess > 0), excess).otherwise(0.0)
+    return strip_satellites(df, modifier() * fraction * d("Mvir"), steps, F.col("_led")).drop("_fall", "_sats", "_ej", "_ics", "_zej", "_zics", "_led")
+
+
+def strip_satellites(df: DataFrame, share: Column, steps: float, where: Column) -> DataFrame:
+    """What a Type 1 object holds beyond its share of baryons goes to the central's hot gas a step at a time; sums over the group commute."""
+    excess = (d("StellarMass") + d("ColdGas") + d("HotGas") + d("EjectedMass") + d("ICS") - share) / steps
+    taken = F.when(where & (F.col("Type") == 1) & (excess > 0), excess).otherwise(0.0)
     z = G.metallicity(d("HotGas"), d("MetalsHotGas"))
     df = df.withColumns({"_gas": F.least(taken, d("HotGas")), "_metals": F.least(taken * z, d("MetalsHotGas"))})
-    gas, metals = F.sum("_gas").over(group()), F.sum("_metals").over(group())
-    df = df.withColumns({"_all_gas": gas, "_all_metals": metals})
+    df = df.withColumns({"_all_gas": F.sum("_gas").over(group()), "_all_metals": F.sum("_metals").over(group())})
     df = set_columns(df, {"HotGas": d("HotGas") + F.when(central(), F.col("_all_gas")).otherwise(-F.col("_gas")), "MetalsHotGas": d("MetalsHotGas") + F.when(central(), F.col("_all_metals")).otherwise(-F.col("_metals"))})
-    return df.drop("_fall", "_sats", "_ej", "_ics", "_zej", "_zics", "_gas", "_metals", "_all_gas", "_all_metals")
+    return df.drop("_gas", "_metals", "_all_gas", "_all_metals")
 
 
 def add_infall(df: DataFrame, falling: Column, where: Column) -> DataFrame:
@@ -156,17 +163,18 @@ def _heat(df: DataFrame, ctx: Context, efficiency: float, mode: int, u: object,
     return df.withColumn("_cool", F.col("_left")).drop("_left", "_strength", "_fed", "_heat")
 
 
-def star_formation(df: DataFrame, ctx: Context, efficiency: float = 0.02, supernovae: bool = True, reheating: float = 3.0, ejection: float = 0.3, energy: float = 1.0, eta: float = 0.5, recycled: float = 0.43, metal_yield: float = 0.03, leave: float = 0.3) -> DataFrame:
+def star_formation(df: DataFrame, ctx: Context, efficiency: float = 0.02, supernovae: bool = True, reheating: float = 3.0, ejection: float = 0.3, energy: float = 1.0, eta: float = 0.5, recycled: float = 0.43, metal_yield: float = 0.03, leave: float = 0.3, prescription: int = 0, instability: bool = False) -> DataFrame:
     """Cold gas above a threshold forms stars; supernovae reheat gas to the central's hot gas and eject some of that.
 
     An object's own gas and stars depend on no other object.  The central's
     reservoirs take every object's share in the group's order, since what can be
-    ejected is capped by the hot gas at that moment: they are a fold over events.
-    ``spin`` is the halo's spin vector.
+    ejected is capped by the hot gas at that moment: they are a fold over events,
+    one for each group, whose rows meet in one array.  ``Spin`` is the halo's spin
+    vector.  A group without a central stays as it is.
     """
     lead = {c: F.max(F.when(central(), d(c))).over(group()) for c in ("Vvir", "Mvir")}
     df = df.withColumns({"_cv": lead["Vvir"], "_cm": lead["Mvir"]})
-    df = set_columns(df, {"DiskScaleRadius": G.disk_radius(G.norm(F.col("spin")), d("Vvir"), d("Rvir"))})
+    df = set_columns(df, {"DiskScaleRadius": F.when(F.col("_cv").isNotNull(), G.disk_radius(G.norm(F.col("Spin")), d("Vvir"), d("Rvir"))).otherwise(d("DiskScaleRadius"))})
     reach = 3.0 * d("DiskScaleRadius")
     threshold = 0.19 * d("Vvir") * reach
     cold, dt = d("ColdGas"), d("dT")
@@ -181,11 +189,10 @@ def star_formation(df: DataFrame, ctx: Context, efficiency: float = 0.02, supern
     df = df.withColumns({"_out": F.greatest(out, F.lit(0.0)), "_kept": kept, "_z": z})
     df = df.withColumns({"_cold1": cold - F.col("_kept"), "_zcold1": d("MetalsColdGas") - F.col("_z") * F.col("_kept")})
     df = df.withColumn("_z2", G.metallicity(F.col("_cold1"), F.col("_zcold1")))
-    df = df.withColumns({"_cold2": F.col("_cold1") - F.col("_heat"), "_zcold2": F.col("_zcold1") - F.col("_z2") * F.col("_heat"), "_leave": leave * F.exp(-F.col("_cm") / 30.0)})
+    df = df.withColumns({"_cold2": F.col("_cold1") - F.col("_heat"), "_zcold2": F.col("_zcold1") - F.col("_z2") * F.col("_heat"), "_leave": leave * F.exp(-F.coalesce("_cm", F.lit(0.0)) / 30.0)})
     disk = F.col("_cold2") > 1e-8
     made = metal_yield * F.col("_stars")
     event = F.struct("group_ord", F.col("_heat").alias("gas"), (F.col("_z2") * F.col("_heat")).alias("metals"), F.col("_out").alias("out"), F.when(disk, made * F.col("_leave")).otherwise(made).alias("yields"))
-    events = F.array_sort(F.collect_list(F.when(F.col("_stars") > 0, event)).over(group()))
     start = F.struct(d("HotGas").alias("hot"), d("MetalsHotGas").alias("zhot"), d("EjectedMass").alias("out"), d("MetalsEjectedMass").alias("zout"))
 
     def take(a: Column, e: Column) -> Column:
@@ -194,7 +201,11 @@ def star_formation(df: DataFrame, ctx: Context, efficiency: float = 0.02, supern
         zgone = G.metallicity(hot, zhot) * gone
         return F.struct((hot - gone).alias("hot"), (zhot - zgone + e["yields"]).alias("zhot"), (a["out"] + gone).alias("out"), (a["zout"] + zgone).alias("zout"))
 
-    df = df.withColumn("_after", F.when(central(), F.aggregate(events, start, take)).otherwise(start))
+    # One row a group, whose events are sorted and folded once; then the group's rows again.
+    whole = df.groupBy(*GROUP).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"), F.array_sort(F.collect_list(F.when(F.col("_stars") > 0, event))).alias("_events"), F.max(F.when(central(), start)).alias("_start"))
+    after = F.when(F.col("_start").isNotNull(), F.aggregate("_events", F.col("_start"), take))
+    df = whole.select("_rows", after.alias("_led")).select(F.explode("_rows").alias("_row"), "_led").select("_row.*", "_led")
+    df = df.withColumn("_after", F.when(central(), F.col("_led")).otherwise(start)).drop("_led")
     df = set_columns(df, {
         "ColdGas": F.col("_cold2"), "MetalsColdGas": F.col("_zcold2") + F.when(disk, made * (1 - F.col("_leave"))).otherwise(0.0),
         "StellarMass": d("StellarMass") + F.col("_kept"), "MetalsStellarMass": d("MetalsStellarMass") + F.col("_z") * F.col("_kept"), "OutflowRate": d("OutflowRate") + F.col("_heat"),
@@ -212,8 +223,10 @@ def reincorporation(df: DataFrame, ctx: Context, factor: float = 1.0) -> DataFra
     return set_columns(df, {"EjectedMass": d("EjectedMass") - F.col("_back"), "MetalsEjectedMass": d("MetalsEjectedMass") - F.col("_zback"), "HotGas": d("HotGas") + F.col("_back"), "MetalsHotGas": d("MetalsHotGas") + F.col("_zback")}).drop("_back", "_zback")
 
 
-def disk_instability(df: DataFrame, ctx: Context, factor: float = 3.0) -> DataFrame:
+def disk_instability(df: DataFrame, ctx: Context, factor: float = 3.0, enabled: bool = True) -> DataFrame:
     """Stars of a disk heavier than its rotation supports move to the bulge."""
+    if not enabled:
+        return df
     df = set_columns(df, {"DiskScaleRadius": F.when(d("DiskScaleRadius") <= 0, 0.03 * d("Rvir")).otherwise(d("DiskScaleRadius"))})
     stars = d("StellarMass") - d("BulgeMass")
     mass = d("ColdGas") + stars
@@ -262,8 +275,8 @@ def simple_star_formation(df: DataFrame, ctx: Context, efficiency: float = 0.02)
     return set_columns(df, {"ColdGas": d("ColdGas") - F.col("_stars"), "StellarMass": d("StellarMass") + F.col("_stars")}).drop("_stars")
 
 
-def mergers(df: DataFrame, ctx: Context) -> DataFrame:
-    """Nothing triggers a merger in the default model; black_hole_growth, quasar_wind and starburst are its library."""
+def mergers(df: DataFrame, ctx: Context, **parameters: float) -> DataFrame:
+    """Nothing triggers a merger in the default model: its parameters are read and checked, its rules are in operators.mergers."""
     return df
 
 

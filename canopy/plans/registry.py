@@ -418,7 +418,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = galaxies(spark, sf_dir)
     spin = F.array(c("StellarMass") * 0.1, c("ColdGas"), c("ICS"))
     return g.select(
-        F.lit(0).alias("file_nr"), F.lit(0).alias("tree_id"), c("CentralHaloIndex").alias("fof_root"), (c("ord") - 1).alias("group_ord"), *KEYS, "Type", spin.alias("spin"), *[c(x).cast("float").alias(x) for x in _STATE], *[F.lit(0.0).cast("double" if x in ("Cooling", "Heating") else "float").alias(x) for x in _ZERO]
+        F.lit(0).alias("file_nr"), F.lit(0).alias("tree_id"), c("CentralHaloIndex").alias("fof_root"), (c("ord") - 1).alias("group_ord"), *KEYS, "Type", spin.alias("Spin"), *[c(x).cast("float").alias(x) for x in _STATE], *[F.lit(0.0).cast("double" if x in ("Cooling", "Heating") else "float").alias(x) for x in _ZERO]
     )
 
 

@@ -34,8 +34,8 @@ HALO = [
     Property("Type", "int", default=0, valid=(0, 2)),
     Property("HaloIndex", "long"),
     Property("CentralHaloIndex", "long"),
-    Property("MimicHaloIndex", "int"),
-    Property("MimicTreeIndex", "int"),
+    Property("ModelHaloIndex", "int"),
+    Property("ModelTreeIndex", "int"),
     Property("SimulationHaloIndex", "long"),
     Property("MergeStatus", "int", default=0, valid=(0, 1)),
     Property("mergeType", "int", default=0, valid=(0, 4)),

@@ -10,6 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from canopy.functions.galaxy import LOG_T_ROWS
+from canopy.sources import files
 from canopy.units import Cosmology, Units, snapshot_table
 
 # Names of the cooling tables, from primordial to super-solar.
@@ -20,8 +21,7 @@ RATE_COLUMN = 5
 
 def read_scale_factors(path: str) -> list[float]:
     """One scale factor a line; line i belongs to snapshot i."""
-    with open(path) as f:
-        return [float(x) for x in f.read().split()]
+    return [float(x) for x in files.read(path).decode().split()]
 
 
 def snapshots(spark: SparkSession, scale_factors: list[float], cosmology: Cosmology | None = None) -> DataFrame:
@@ -33,8 +33,7 @@ def read_cooling_tables(folder: str) -> list[list[float]]:
     """Log rates on the temperature grid, one list a metallicity."""
     out = []
     for name in COOLING_FILES:
-        with open(f"{folder}/{name}") as f:
-            numbers = [line.split() for line in f if line.strip()]
+        numbers = [line.split() for line in files.read(f"{folder}/{name}").decode().splitlines() if line.strip()]
         out.append([float(n[RATE_COLUMN]) for n in numbers[:LOG_T_ROWS]])
         if len(out[-1]) != LOG_T_ROWS:
             raise ValueError(f"{name}: {LOG_T_ROWS} rows expected")
