@@ -55,7 +55,7 @@ class JaccardConfig:
     #: Bytes of count vectors that one search task holds, about; a bucket of more is split by size bands.
     block_bytes: int = 16 << 20
     #: Documents in one block of the verification: a task holds the sets of two at a time.
-    verify_block: int = 32
+    verify_block: int = 128
     #: Entries of a node of the R-tree.
     leaf: int = 8
     #: Candidate ids that may be broadcast (8 bytes each); beyond, they are joined by shuffling.
@@ -503,10 +503,11 @@ def _search_buckets(rows: DataFrame, sets: DataFrame, c: JaccardConfig) -> DataF
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
-    """The pairs of (a, b, home) whose whole texts link.
+    """Of the pairs of (a, b, home) whose whole texts link those that join documents not joined yet.
 
     Sets of one home lie in blocks of about ``verify_block``; a text is sent once to
-    each pair of blocks that needs it, not once a pair.
+    each pair of blocks that needs it, not once a pair.  A pair whose ends earlier
+    pairs of its task have joined is passed over: it changes no component.
     """
     ends = pairs.select(F.col("a").alias("node"), "home").unionAll(pairs.select(F.col("b").alias("node"), "home")).groupBy("node").agg(F.min("home").alias("home"))
     sizes = ends.groupBy("home").agg(F.count("*").alias("_n"))
@@ -521,18 +522,29 @@ def _verify(pairs: DataFrame, texts: DataFrame, c: JaccardConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
         held: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
         for batch in batches:
             linked: list[tuple[int, int]] = []
             columns = (batch.column(k).to_pylist() for k in range(4))
             for lo, hi, node, other, own in zip(*columns, shingle_sets(batch.column(4), c), strict=True):
                 if at != (lo, hi):
-                    at, held = (lo, hi), {}
+                    at, held, parent = (lo, hi), {}, {}
                 if other is None:
                     held[node] = own
                     continue
+                if (p := top(node)) == (q := top(other)):
+                    continue
                 x, y = held[node], held[other]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= c.num * (len(x) + len(y) - both):
+                    parent[p] = q
                     linked.append((node, other))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in linked], pa.int64()), pa.array([p[1] for p in linked], pa.int64())], names=["a", "b"])
 
