@@ -81,7 +81,7 @@ def velocity_distribution(df: DataFrame, h: float) -> DataFrame:
 def spatial_distribution(df: DataFrame, n: int | None = 10_000, seed: int = 0) -> DataFrame:
     """Positions of objects with mass, a seeded sample of at most n."""
     rows = df.filter("Mvir > 0").select(*[F.element_at("Pos", i).alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
-    return rows if n is None else rows.orderBy(F.rand(seed)).limit(n)
+    return _sample(rows, n, seed)
 
 
 def baryon_fraction(df: DataFrame, h: float, least: int = 3, count_bulge: bool = True) -> DataFrame:
@@ -121,7 +121,8 @@ def quiescent_fraction(df: DataFrame, h: float, cut: float = 1e-11, split: float
 
 
 def _sample(df: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
-    return df if n is None else df.orderBy(F.rand(seed)).limit(n)
+    """At most n rows, the first by a seeded hash of all their columns: the same ones however the rows are partitioned."""
+    return df if n is None else df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
 
 
 def _spirals() -> Column:
@@ -187,7 +188,11 @@ def stellar_mass_density(df: DataFrame, snaps: DataFrame, h: float, volume: floa
 
 
 def even_snapshots(snaps: DataFrame, most: int = 8, highest: float = 8.0) -> DataFrame:
-    """At most ``most`` snapshots below a redshift, evenly spaced from the lowest redshift."""
+    """At most ``most`` snapshots below a redshift, evenly spaced from the lowest redshift.
+
+    The step is rounded down, so a step's multiples are never fewer than ``most``
+    where there are as many snapshots: none is left to fill up.
+    """
     order, every = Window.orderBy("z"), Window.partitionBy()  # one row a snapshot
     rows = snaps.filter(F.col("z") <= highest).withColumns({"_k": F.row_number().over(order) - 1, "_n": F.count("*").over(every)})
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canopy.operators.forest import write_back
 from canopy.operators.histogram import digitize, fixed_histogram, ranged_histogram, volume_density
+from canopy.operators.output import host_properties
 from canopy.plans.registry import KEYS, ORACLES, QUERIES, c, query
 from canopy.plans.standin import FOREST_SQL, GALAXIES_SQL, SNAPS_SQL, VOLUME, forest, galaxies, progenitors, snaps
 from canopy.units import Cosmology, Units
@@ -27,11 +29,23 @@ def _prj03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest(spark, sf_dir).select("key", c("root").alias("central"))
 
 
-@query("PRJ05", f"{FOREST_SQL} SELECT e.prog, round(h.Mvir, 6) AS raw, round(max(h.Mvir) OVER (PARTITION BY e.descendant), 6) AS tracked FROM e JOIN o h ON h.key = e.prog AND h.tree_id = e.tree_id")
+@query("PRJ05", f"{FOREST_SQL} SELECT o.key, round(o.Mvir / 1000, 6) AS Rvir, round(o.Mvir / 100, 6) AS Vvir, round(r.Mvir, 6) AS CentralMvir, o.key + 7 AS SimulationHaloIndex FROM o JOIN o r ON r.key = o.root")
 def _prj05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = forest(spark, sf_dir)
-    raw = h.select("tree_id", c("key").alias("prog"), c("Mvir").alias("raw"))
-    return progenitors(h).join(raw, ["tree_id", "prog"]).select("prog", "raw", F.max("raw").over(Window.partitionBy("tree_id", "descendant")).alias("tracked"))
+    """Objects whose own radius and velocity are out of date get those of their halo."""
+    h = forest(spark, sf_dir).withColumns({"file_nr": F.lit(0), "halo_nr": c("key")})
+    objects = h.select("file_nr", "tree_id", "halo_nr", "key", c("root").alias("fof_root"), F.lit(-1.0).alias("Rvir"), F.lit(-1.0).alias("Vvir"))
+    new = {"Spin": F.array(F.lit(0.0)), "VelDisp": F.lit(0.0), "MostBoundID": c("key") + 7, "r_halo": c("Mvir") / 1000, "v_halo": c("Mvir") / 100, "m_halo": c("Mvir"), "is_root": c("fof_ord") == 0}
+    return host_properties(objects, h.withColumns(new)).select("key", "Rvir", "Vvir", "CentralMvir", "SimulationHaloIndex")
+
+
+@query("JON10", f"{FOREST_SQL} SELECT o.key, CASE WHEN e.prog IS NULL THEN 0 ELSE 1 END AS MergeStatus, coalesce(e.descendant, -1) AS mergeIntoBorn, coalesce(e.desc_snap, -1) AS mergeIntoSnapNum FROM o LEFT JOIN e ON e.prog = o.key AND e.chain_ord > 0")
+def _jon10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of halos that aren't their descendant's first progenitor, noted in their own row."""
+    h = forest(spark, sf_dir).withColumn("file_nr", F.lit(0))
+    none = {"MergeStatus": F.lit(0), "mergeType": F.lit(0), "mergeIntoBorn": F.lit(-1).cast("long"), "mergeIntoSnapNum": F.lit(-1)}
+    objects = h.select("file_nr", "tree_id", "key", c("key").alias("born"), "SnapNum").withColumns(none)
+    gone = progenitors(h).filter("chain_ord > 0").select(F.lit(0).alias("file_nr"), "tree_id", c("prog").alias("born"), c("prog_snap").alias("prev_snap"), F.lit(1).alias("MergeStatus"), F.lit(1).alias("mergeType"), c("descendant").alias("mergeIntoBorn"), c("desc_snap").alias("mergeIntoSnapNum"))
+    return write_back(objects, gone).select("key", "MergeStatus", "mergeIntoBorn", "mergeIntoSnapNum")
 
 
 @query("JON03", f"{FOREST_SQL} SELECT e.descendant, o.o_orderkey AS prog, l.ord AS place FROM e JOIN orders o ON o.o_orderkey = e.prog JOIN ({GALAXIES_SQL} SELECT CentralHaloIndex, ord FROM g) l ON l.CentralHaloIndex = e.prog")
@@ -70,9 +84,10 @@ def _win02(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 
-@query("AGG02", f"{FOREST_SQL} SELECT descendant, max(prog_len) AS largest, count(*) AS held FROM e WHERE occupied GROUP BY 1")
+@query("AGG02", f"{FOREST_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY descendant ORDER BY prog_len DESC, chain_ord) AS k, count(*) OVER (PARTITION BY descendant) AS held FROM e WHERE occupied) SELECT descendant, prog AS heaviest, prog_len AS largest, held FROM k WHERE k = 1")
 def _agg02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progenitors(forest(spark, sf_dir)).filter("occupied").groupBy("descendant").agg(F.max("prog_len").alias("largest"), F.count("*").alias("held"))
+    first = F.struct("prog_len", -c("chain_ord"))
+    return progenitors(forest(spark, sf_dir)).filter("occupied").groupBy("descendant").agg(F.max_by("prog", first).alias("heaviest"), F.max("prog_len").alias("largest"), F.count("*").alias("held"))
 
 
 @query("AGG05", f"{FOREST_SQL}, p AS (SELECT key, CAST(row_number() OVER (PARTITION BY tree_id, SnapNum ORDER BY key) - 1 AS INT) AS place FROM o) SELECT e.prog, p.place AS merged_into FROM e JOIN p ON p.key = e.descendant WHERE e.chain_ord > 0")

@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 
 from canopy.functions import galaxy as G
 from canopy.functions import numeric as N
+from canopy.operators import mergers as M
 from canopy.operators import physics as P
 from canopy.operators import quality
+from canopy.operators.forest import first_occupied
 from canopy.operators.histogram import edges
+from canopy.operators.output import infall_values, time_in_myr
 from canopy.plans import analytics as A
 from canopy.plans.standin import FOREST_SQL, GALAXIES_SQL, H, SNAPS_SQL, VECTORS_SQL, VOLUME, forest, galaxies, progenitors, snaps, vectors
 from canopy.sources.catalogue import decode_index, encode_index
-from canopy.units import Cosmology
+from canopy.units import BOLTZMANN, PROTON_MASS, SEC_PER_MEGAYEAR, Cosmology
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,7 +86,28 @@ def model_tables() -> list[list[float]]:
     return [[-23.0 + 0.05 * i + 1.5 * math.sin(t / 12.0) - 0.002 * (t - 40) for t in range(G.LOG_T_ROWS)] for i in range(len(G.COOLING_DEX))]
 
 
-@query("SCL16", digits=4)
+_GRID = [x + math.log10(G.SOLAR_METALLICITY) for x in G.COOLING_DEX]
+
+
+def rate_sql(log_t: str, log_z: str, source: str) -> str:
+    """CTEs that end in ``rated``: the source with log_rate, interpolated in the rule of model_tables."""
+    listed = "[" + ", ".join(f"{g!r}e0" for g in _GRID) + "]"
+
+    def table(i: str, k: str) -> str:
+        return f"(-23e0 + 0.05e0 * ({i}) + 1.5e0 * sin(({k}) / 12e0) - 0.002e0 * (({k}) - 40))"
+
+    def along(i: str) -> str:
+        return f"({table(i, 'k')} + ({table(i, 'k + 1')} - {table(i, 'k')}) * p)"
+
+    return (
+        f"r1 AS (SELECT *, greatest(4e0, {log_t}) AS lt, greatest({_GRID[0]!r}e0, least({_GRID[-1]!r}e0, {log_z})) AS lz FROM {source}), "
+        f"r2 AS (SELECT *, least(CAST(floor((lt - 4) / 0.05e0) AS INT), {G.LOG_T_ROWS - 2}) AS k, len(list_filter({listed}[2:{len(_GRID) - 1}], lambda g: lz > g)) AS i FROM r1), "
+        f"r3 AS (SELECT *, (lt - 4 - 0.05e0 * k) / 0.05e0 AS p, {listed}[i + 1] AS z0, {listed}[i + 2] AS z1 FROM r2), "
+        f"rated AS (SELECT *, {along('i')} + ({along('i + 1')} - {along('i')}) / (z1 - z0) * (lz - z0) AS log_rate FROM r3)"
+    )
+
+
+@query("SCL16", f"{GALAXIES_SQL}, {rate_sql('3.5e0 + Mvir / 20000', 'log10(greatest(SfrDisk, 1e-6))', 'g')} SELECT CentralHaloIndex, ord, round(log_rate, 4) AS rate FROM rated", digits=4)
 def _scl16(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = galaxies(spark, sf_dir)
     return g.select(*KEYS, F.log10(G.cooling_rate(3.5 + c("Mvir") / 20000, F.log10(F.greatest(c("SfrDisk"), F.lit(1e-6))), model_tables())).alias("rate"))
@@ -115,12 +139,20 @@ def _scl20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- projections and filters -----------------------------------------------------------------------------------------
 
-over_galaxies("PRJ01", lambda: {"infall": F.when(c("Type") != 0, c("Mvir")).otherwise(0.0)}, {"infall": "CASE WHEN Type <> 0 THEN Mvir ELSE 0e0 END"})
-over_galaxies("PRJ04", lambda: {"dT": F.when(c("dT") == -0.0001, c("dT")).otherwise(c("dT") * 978028.5)}, {"dT": "CASE WHEN dT = -0.0001e0 THEN dT ELSE dT * 978028.5e0 END"})
+over_galaxies("PRJ01", lambda: {"infall": infall_values(c("Type"), c("Mvir"))}, {"infall": "CASE WHEN Type <> 0 THEN Mvir ELSE 0e0 END"})
+_MYR = Cosmology().units.time_s / SEC_PER_MEGAYEAR
+over_galaxies("PRJ04", lambda: {"dT": time_in_myr(F.when(c("dT") < 0, -1.0).otherwise(c("dT")), Cosmology())}, {"dT": f"CASE WHEN dT < 0 THEN -1e0 ELSE dT * {_MYR!r}e0 END"})
 over_galaxies("FLT02", lambda: {"m": c("StellarMass")}, {"m": "StellarMass"}, where="Type = 0 AND ColdGas > 0")
 over_galaxies("FLT01", lambda: {"s": c("SnapNum")}, {"s": "!SnapNum"}, where="SnapNum IN (1996, 1999)")
 over_galaxies("FLT04", lambda: {"s": c("Type")}, {"s": "!Type"}, where="NOT (Type < 2 AND ColdGas = 0)")
-over_galaxies("FLT06", lambda: {"a": c("Mvir")}, {"a": "Mvir"}, where="Mvir < 90000 AND Mvir = Mvir")
+_ODD = "CASE WHEN Len % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN Len % 7 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE Mvir END"
+
+
+@query("FLT06", f"{GALAXIES_SQL}, o AS (SELECT CentralHaloIndex, ord, {_ODD} AS a FROM g) SELECT CentralHaloIndex, ord, round(a, 6) AS a FROM o WHERE isfinite(a)")
+def _flt06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return galaxies(spark, sf_dir).select(*KEYS, F.expr(_ODD).alias("a")).filter(N.is_finite(c("a")))
+
+
 
 
 @query("PRJ02", "SELECT o_orderkey, CAST(o_orderkey % 1000 + (o_custkey % 500) * 1000000000 + (o_orderkey % 7) * 1000000000000000 AS BIGINT) AS idx, CAST(o_orderkey % 7 AS BIGINT) AS f, CAST(o_custkey % 500 AS BIGINT) AS t, CAST(o_orderkey % 1000 AS BIGINT) AS h FROM orders")
@@ -190,9 +222,8 @@ def _jon15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WIN01", f"{FOREST_SQL} SELECT tree_id, descendant, prog AS winner FROM (SELECT *, row_number() OVER (PARTITION BY descendant ORDER BY CASE WHEN chain_ord = 0 THEN 0 ELSE 1 END, prog_len DESC, chain_ord) AS k FROM e WHERE occupied) WHERE k = 1")
 def _win01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = Window.partitionBy("descendant").orderBy(F.when(c("chain_ord") == 0, 0).otherwise(1), c("prog_len").desc(), "chain_ord")
-    held = progenitors(forest(spark, sf_dir)).filter("occupied").withColumn("k", F.row_number().over(best))
-    return held.filter("k = 1").select("tree_id", "descendant", c("prog").alias("winner"))
+    held = progenitors(forest(spark, sf_dir)).filter("occupied").withColumn("file_nr", F.lit(0))
+    return first_occupied(held, "descendant").select("tree_id", "descendant", "winner").distinct()
 
 
 @query("WIN03", f"{FOREST_SQL}, {SNAPS_SQL} SELECT prog, round(a.z - b.z, 6) AS dt FROM e JOIN snaps a ON a.snap = prog_snap JOIN snaps b ON b.snap = desc_snap")
@@ -297,7 +328,7 @@ def _lim03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.even_snapshots(snaps(spark), 3)
 
 
-@query("LIM04")
+@query("LIM04", f"WITH {SNAPS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY z) - 1 AS k, count(*) OVER () AS n FROM snaps), t AS (SELECT *, greatest(1, (n - 2) // 3) AS step FROM r) SELECT snap, round(z, 6) AS z FROM t WHERE k = 0 OR k = n - 1 OR (k > 0 AND k < n - 1 AND (k - 1) % step = 0 AND (k - 1) / step < 3)")
 def _lim04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.diverse_snapshots(snaps(spark), 3)
 
@@ -345,7 +376,13 @@ def _logm(m: str) -> str:
 
 query("QRY06", f"{GALAXIES_SQL}, q AS (SELECT CentralHaloIndex, count(*) AS n_all, sum(CASE WHEN Type <> 0 THEN 1 ELSE 0 END) AS n_sat, max(CASE WHEN Type = 0 THEN Mvir END) AS m FROM g GROUP BY 1), b AS (SELECT *, {bin_sql(_logm('m'), edges(10, 15, 0.2))} AS bin FROM q WHERE m > 0) SELECT bin, count(*) AS groups, round(avg(n_all), 6) AS mean_all, round(avg(n_sat), 6) AS mean_satellites FROM b WHERE bin IS NOT NULL GROUP BY 1")(lambda s, d: A.halo_occupation(galaxies(s, d), H))
 _NORM = "sqrt(CAST({0}[1] AS DOUBLE) * {0}[1] + CAST({0}[2] AS DOUBLE) * {0}[2] + CAST({0}[3] AS DOUBLE) * {0}[3])"
-query("QRY07")(lambda s, d: A.spin_distribution(vectors(s, d)))
+query(
+    "QRY07",
+    f"{VECTORS_SQL}, w AS (SELECT {_NORM.format('Vel')} AS v, {_NORM.format('Pos')} AS r, {_NORM.format('Spin')} AS j FROM v), x AS (SELECT j / (1.414213562e0 * v * r) AS x FROM w WHERE v > 0 AND r > 0 AND j > 0), "
+    "h AS (SELECT k, -0.02e0 + (k + 0.5e0) * (0.52e0 / 52) AS center, count(x) AS n FROM range(52) t(k) LEFT JOIN x ON least(CAST(floor((x + 0.02e0) / (0.52e0 / 52)) AS INT), 51) = k AND x > 0 AND x < 1 AND x <= 0.5 GROUP BY k), "
+    "u AS (SELECT *, CASE WHEN center > 0 THEN exp(-pow(ln(CASE WHEN center > 0 THEN center ELSE 1 END / 0.035e0), 2) / 0.5e0) / (center * 0.5e0 * sqrt(2 * pi())) ELSE 0e0 END AS c FROM h) "
+    "SELECT CAST(k AS INT) AS bin, round(center, 6) AS center, n, round(c / (SELECT max(c) FROM u) * (SELECT max(n) FROM u), 6) AS curve FROM u",
+)(lambda s, d: A.spin_distribution(vectors(s, d)))
 query(
     "QRY08",
     f"{VECTORS_SQL}, w AS (SELECT *, {_NORM.format('Pos')} AS r FROM v), s AS (SELECT 'los' AS component, (Vel[1] * Pos[1] + Vel[2] * Pos[2] + Vel[3] * Pos[3]) / r / {100 * H}e0 AS x FROM w WHERE r > 0 UNION ALL SELECT 'x', Vel[1] / {100 * H}e0 FROM w WHERE r > 0 UNION ALL SELECT 'y', Vel[2] / {100 * H}e0 FROM w WHERE r > 0 UNION ALL SELECT 'z', Vel[3] / {100 * H}e0 FROM w WHERE r > 0), "
@@ -432,12 +469,82 @@ def _f(expr: str) -> str:
 
 _F32 = f"{GALAXIES_SQL}, f AS (SELECT CentralHaloIndex, ord, Type, {', '.join(f'CAST(CAST({x} AS FLOAT) AS DOUBLE) AS {x}' for x in _STATE)} FROM g)"
 physics("PHY01", lambda df, x: P.infall(df, x, reionization=False), ["HotGas", "MetalsHotGas", "EjectedMass", "ICS", "TotalSatelliteBaryons"])
-physics("PHY04", P.cooling, ["ColdGas", "HotGas", "Cooling"])
+_SAFE = "CASE WHEN abs({1}) < 1e-10 THEN 0e0 ELSE {0} / CASE WHEN abs({1}) < 1e-10 THEN 1e0 ELSE {1} END END"
+_UNITS = Cosmology().units
+_X = f"{PROTON_MASS * BOLTZMANN!r} * temp / pow(10e0, log_rate) / {_UNITS.density_cgs * _UNITS.time_s!r}"
+_COOL = (
+    f"{_F32}, s1 AS (SELECT *, Type = 0 AND HotGas > 1e-10 AND Vvir > 1e-10 AS active, {_SAFE.format('Rvir', 'Vvir')} AS t, 35.9e0 * Vvir * Vvir AS temp, CASE WHEN dT > 1e-10 THEN dT ELSE 0e0 END AS step FROM f), "
+    f"{rate_sql('log10(CASE WHEN active THEN temp ELSE 1e4 END)', 'CASE WHEN MetalsHotGas > 1e-10 THEN log10(CASE WHEN active AND MetalsHotGas > 1e-10 THEN MetalsHotGas / HotGas ELSE 1e0 END) ELSE -10e0 END', 's1')}, "
+    f"s2 AS (SELECT *, {_X} AS x FROM rated), s3 AS (SELECT *, {_SAFE.format('HotGas', '(4 * pi() * Rvir)')} AS rho, ({_SAFE.format('x', 't')}) * 0.885e0 AS edge FROM s2), "
+    f"s4 AS (SELECT *, CASE WHEN active THEN sqrt({_SAFE.format('rho', 'edge')}) ELSE 0e0 END AS reach FROM s3), "
+    f"s5 AS (SELECT *, CASE WHEN reach > Rvir THEN HotGas * ({_SAFE.format('Vvir', 'Rvir')}) * step ELSE ({_SAFE.format('HotGas', 'Rvir')}) * ({_SAFE.format('reach', '(2 * t)')}) * step END AS flow FROM s4), "
+    "s6 AS (SELECT *, CASE WHEN active THEN greatest(0e0, least(HotGas, flow)) ELSE 0e0 END AS cool FROM s5), s7 AS (SELECT *, CASE WHEN cool > 1e-10 THEN cool ELSE 0e0 END AS moved FROM s6) "
+)
+
+
+@query("PHY04", f"{_COOL}SELECT CentralHaloIndex, ord, round({_f('ColdGas + moved')}, 3) AS ColdGas, round({_f('HotGas - moved')}, 3) AS HotGas, round(log10(1 + 0.5e0 * moved * Vvir * Vvir), 3) AS cooled FROM s7", 3)
+def _phy04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cooling without heating, its time step in code units."""
+    return P.cooling(objects(spark, sf_dir), P.Context(cooling_tables=model_tables()), agn=0, dt_units="code").select(*KEYS, "ColdGas", "HotGas", F.log10(1 + c("Cooling")).alias("cooled"))
+
+
 physics("PHY05", lambda df, x: P.cooling(df, x, agn=2, dt_units="code"), ["BlackHoleMass", "r_heat", "Heating"])
 physics("PHY08", P.star_formation, ["StellarMass", "ColdGas", "HotGas", "EjectedMass", "OutflowRate"])
 _BACK = "CASE WHEN Type = 0 AND EjectedMass > 1e-10 AND dT > 0 AND Vvir > 133.644e0 THEN least((Vvir / 133.644e0 - 1) * EjectedMass * (Vvir / Rvir) * dT, EjectedMass) ELSE 0 END"
 physics("PHY12", lambda df, x: P.reincorporation(df, x, 0.3), ["EjectedMass", "HotGas"], f"{_F32}, b AS (SELECT *, {_BACK.replace('133.644e0', '(445.48e0 * 0.3e0)')} AS back FROM f) SELECT CentralHaloIndex, ord, round({_f('EjectedMass - back')}, 3) AS EjectedMass, round({_f('HotGas + back')}, 3) AS HotGas FROM b")
-physics("PHY13", P.disk_instability, ["BulgeMass", "DiskScaleRadius"])
+_DISK = (
+    f"{_F32}, d AS (SELECT *, {_f('0.03e0 * Rvir')} AS rd, StellarMass - BulgeMass AS stars, ColdGas + StellarMass - BulgeMass AS mass FROM f), "
+    f"m AS (SELECT *, greatest(({_SAFE.format('stars', 'mass')}) * (mass - least(Vmax * Vmax * 3 * rd / {_G!r}e0, mass)), 0e0) AS moved FROM d) "
+    f"SELECT CentralHaloIndex, ord, round({_f('CASE WHEN moved > 0 AND BulgeMass + moved > StellarMass * 1.0001e0 THEN StellarMass ELSE BulgeMass + moved END')}, 3) AS BulgeMass, round(rd, 3) AS DiskScaleRadius FROM m"
+)
+physics("PHY13", P.disk_instability, ["BulgeMass", "DiskScaleRadius"], _DISK)
+_DRAIN = (
+    f"{_F32}, a AS (SELECT *, Type = 0 AND deltaMvir < 0 AND EjectedMass > 0 AS drains FROM f), "
+    "b AS (SELECT *, CASE WHEN drains THEN greatest(EjectedMass + deltaMvir, 0e0) ELSE EjectedMass END AS ej, CASE WHEN Type <> 0 THEN 0e0 WHEN drains THEN least(EjectedMass + deltaMvir, 0e0) ELSE deltaMvir END AS falls FROM a) "
+    f"SELECT CentralHaloIndex, ord, round({_f('ej')}, 3) AS EjectedMass, round({_f('greatest(HotGas + falls, 0e0)')}, 3) AS HotGas FROM b"
+)
+physics("PHY02", lambda df, x: P.add_infall(df, P.d("deltaMvir"), P.central()), ["EjectedMass", "HotGas"], _DRAIN)
+_STRIP = (
+    f"{_F32}, a AS (SELECT *, CASE WHEN Type = 1 THEN greatest((StellarMass + ColdGas + HotGas + EjectedMass + ICS - 0.01e0 * Mvir) / 10, 0e0) ELSE 0e0 END AS over FROM f), b AS (SELECT *, least(over, HotGas) AS gas FROM a), "
+    "c AS (SELECT *, sum(gas) OVER (PARTITION BY CentralHaloIndex) AS everything FROM b) "
+    f"SELECT CentralHaloIndex, ord, round({_f('HotGas + CASE WHEN Type = 0 THEN everything ELSE -gas END')}, 2) AS HotGas FROM c"
+)
+
+
+@query("PHY03", _STRIP, 2)
+def _phy03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.strip_satellites(objects(spark, sf_dir), 0.01 * P.d("Mvir"), 10.0, F.lit(True)).select(*KEYS, "HotGas")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Galaxies with a satellite of three tenths of their reservoirs each."""
+    own = {f: c(f) if f in _STATE else F.lit(0.0) for f in M.FIELDS}
+    a = F.struct(*[x.cast("double").alias(f) for f, x in own.items()])
+    b = F.struct(*[(0.3 * x.cast("double")).alias(f) for f, x in own.items()])
+    return objects(spark, sf_dir), a, b
+
+
+def _after(name: str, rule: Callable[[Column, Column], Column], sql: dict[str, str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, a, b = _pairs(spark, sf_dir)
+        return df.select(*KEYS, M.let(rule(a, b), lambda x: x).alias("_x")).select(*KEYS, *[c(f"_x.{k}").alias(k) for k in sql])
+
+    query(name, f"{_F32} SELECT CentralHaloIndex, ord, {', '.join(f'round({v}, 4) AS {k}' for k, v in sql.items())} FROM f", 4)(run)
+
+
+_after("PHY15", M.add_galaxies, {"ColdGas": "ColdGas + 0.3e0 * ColdGas", "StellarMass": "StellarMass + 0.3e0 * StellarMass", "BulgeMass": "BulgeMass + 0.3e0 * StellarMass", "BlackHoleMass": "BlackHoleMass + 0.3e0 * BlackHoleMass", "ICS": "ICS + 0.3e0 * ICS"})
+_after("PHY16", lambda a, b: M.make_spheroid(a), {"BulgeMass": "StellarMass", "StellarMass": "StellarMass"})
+_after("PHY21", M.disrupt, {"HotGas": "HotGas + 0.3e0 * ColdGas + 0.3e0 * HotGas", "ICS": "ICS + 0.3e0 * ICS + 0.3e0 * StellarMass", "EjectedMass": "EjectedMass + 0.3e0 * EjectedMass", "BlackHoleMass": "BlackHoleMass"})
+
+
+@query("JON09", f"{GALAXIES_SQL} SELECT CentralHaloIndex, ord, CASE WHEN ord % 4 = 3 THEN 0 ELSE 0 END AS target FROM g WHERE ord > 1")
+def _jon09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every satellite merges; each third of four names the one before it, which merges into the central."""
+    o = objects(spark, sf_dir)
+    events = o.filter("group_ord > 0").select(*P.GROUP, "group_ord", F.when(c("ord") % 4 == 3, c("group_ord") - 1).otherwise(F.lit(0)).alias("target"))
+    return M.resolve_targets(o, events, P.GROUP).select(c("fof_root").alias("CentralHaloIndex"), (c("group_ord") + 1).alias("ord"), "target")
+
+
 _SIMPLE = "ColdGas + CASE WHEN Type = 0 AND deltaMvir > 0 THEN 0.15e0 * deltaMvir ELSE 0 END"
 physics("PHY22", P.simple_cooling, ["ColdGas"], f"{_F32} SELECT CentralHaloIndex, ord, round({_f(_SIMPLE)}, 3) AS ColdGas FROM f")
 _STARS = "CASE WHEN Type = 0 AND ColdGas > 0 AND dT > 0 THEN least(0.02e0 * ColdGas * (Vvir / Rvir) * dT, ColdGas) ELSE 0 END"

@@ -15,7 +15,7 @@ from canopy.plans.modules import registered, running
 from canopy.schema import output_schema
 from canopy.sources import catalogue, files, hdf5
 from canopy.sources.tables import RunConfig, parse_config, read_cooling_tables, read_scale_factors, snapshots
-from canopy.sources.trees import read_tree_files, tree_table
+from canopy.sources.trees import read_tree_files, tree_numbers
 from canopy.storage import scratch, store
 
 FORMATS = ("binary", "parquet", "hdf5")
@@ -58,13 +58,13 @@ def run_model(spark: SparkSession, config: RunConfig | str, cooling_tables: list
     redshift = {k: 1 / a - 1 for k, a in enumerate(scale_factors)}
     wanted = list(config.output_snapshots) or sorted(redshift)
     skip = [k for k in range(config.first_file, config.last_file + 1) if skip_existing and _written(config, wanted, redshift, k)]
-    halos = read_tree_files(spark, config.tree_type, config.input_directory, config.tree_name, [k for k in range(config.first_file, config.last_file + 1) if k not in skip])
+    file_nrs = [k for k in range(config.first_file, config.last_file + 1) if k not in skip]
+    halos = read_tree_files(spark, config.tree_type, config.input_directory, config.tree_name, file_nrs)
     if halos.isEmpty():
         return spark.createDataFrame([], T.StructType([T.StructField("file_nr", T.IntegerType()), T.StructField("tree_id", T.IntegerType()), T.StructField("out_ord", T.IntegerType()), *output_schema().fields]))
     with scratch(spark) as own:
         rows = own.keep(store(evolved_catalogue(halos, scale_factors, config, cooling_tables).filter(F.col("SnapNum").isin(wanted)), "catalogue"))
-    # One row a tree file.
-    trees = {r["file_nr"]: r["n"] for r in tree_table(halos).groupBy("file_nr").agg((F.max("tree_id") + 1).alias("n")).collect()}
+    trees = tree_numbers(config.tree_type, config.input_directory, config.tree_name, file_nrs)
     if config.output_format == "parquet":
         catalogue.write_catalogue(rows, f"{config.directory}/{config.name}", mode="append" if skip_existing else "overwrite")
     elif config.output_format == "binary":

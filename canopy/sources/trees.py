@@ -127,6 +127,22 @@ def read_tree_files(spark: SparkSession, kind: str, folder: str, name: str, file
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], tree_schema())
 
 
+def tree_numbers(kind: str, folder: str, name: str, file_nrs: list[int]) -> dict[int, int]:
+    """How many trees, empty ones too, each file that exists has, from its header."""
+    from canopy.sources import hdf5
+
+    out = {}
+    for k in file_nrs:
+        path = f"{folder}/{name}.{k}" + ("" if kind == "lhalo_binary" else ".hdf5")
+        if files.exists(path):
+            if kind == "lhalo_binary":
+                out[k] = len(tree_counts(path))
+            else:
+                with hdf5.open_file(path) as f:
+                    out[k] = len(hdf5.tree_counts(f, kind))
+    return out
+
+
 def write_tree_file(path: str, trees: list[list[dict]], order: str = "<") -> None:
     """A tree file of given halos, for tests and small forests; a field left out is 0, a link -1."""
     kind = np.dtype(numpy_record(TREE, order))
