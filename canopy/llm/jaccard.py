@@ -137,7 +137,7 @@ def _describe(docs: DataFrame, c: JaccardConfig) -> DataFrame:
                 held.append(x)
                 size += len(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(vectors, pa.binary())], names=names)
-            if size >= 1 << 21:
+            if size >= 1 << 20:
                 yield counts()
                 held, size = [], 0
         if size:

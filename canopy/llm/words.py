@@ -17,7 +17,7 @@ _MULT = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = _U(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; a longer document makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _byte_codes = np.random.RandomState(20240229).randint(0, 2**63 - 1, 256, dtype=np.int64).view(_U) | _U(1)
 _byte_codes[65:91] = _byte_codes[97:123]
