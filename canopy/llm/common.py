@@ -16,6 +16,7 @@ from canopy.storage import store as materialise
 
 __all__ = ["WORD", "free_name", "free_names", "held_out", "lean", "materialise", "read_table", "scratch", "ship_code"]
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 #: A word, for the operators that count words with SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,7 +26,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Lets Python workers started from now on import this package in local mode; a cluster gets it by --py-files."""
+    """Lets Python workers started from now on import this package in local mode; a cluster gets it by --py-files.
+
+    Where the session has Spark's default size of Arrow batches they become
+    smaller: rows hold whole texts, and JVM and worker hold a batch each.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
