@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,6 +41,9 @@ class Scratch:
 
 
 _open: list[Scratch] = []
+#: Seconds between two collections, at least.
+RELEASE_S = 15.0
+_released = -RELEASE_S
 
 
 def _path_of(df: DataFrame) -> str | None:
@@ -60,6 +65,21 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         _open.remove(own)
         for path in own.paths:
             delete(spark, path)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go what ended jobs hold: shuffle files, broadcasts and plans go when the driver collects their handles.
+
+    By itself a driver with memory to spare may not collect for half an hour
+    (spark.cleaner.periodicGC.interval), while executors keep every shuffle.
+    """
+    global _released
+    if time.monotonic() - _released < RELEASE_S:
+        return
+    gc.collect()  # Python's handles of Java objects first
+    spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def delete(spark: SparkSession, path: str) -> None:
