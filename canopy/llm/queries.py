@@ -99,7 +99,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
+    model = toxicity.fit(docs.filter(~held_out(F.col("doc_id"))), read_table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
     at = F.create_map(*[x for k, v in sorted(model.thresholds.items()) for x in (F.lit(k), F.lit(v))]) if model.thresholds else None
     out = toxicity.score(docs, model, keep=["doc_id", "lang"])
     own = F.lit(TOXIC_AT) if at is None else F.coalesce(F.element_at(at, F.col("lang")), F.lit(TOXIC_AT))
