@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm import words
 from canopy.llm.common import free_name, lean, materialise, scratch, ship_code
+from canopy.storage import release
 
 #: Words whose filters are computed at once.
 CHUNK_WORDS = 1 << 16
@@ -37,8 +38,8 @@ class ToxicityConfig:
     prefix: int = 5
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 16
-    #: Bytes of text of a shard, about: its rows are trained on one after another.
-    shard_bytes: int = 16 << 20
+    #: Bytes of a shard's buckets, about: its rows are trained on one after another.
+    shard_bytes: int = 10 << 20
     rounds: int = 5
     #: Steps of a shard in all rounds, at least; a round goes through all its rows.
     steps: int = 1000
@@ -278,27 +279,31 @@ def _shards(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[tu
 
 
 def _hashed_rows(docs: DataFrame, labels: DataFrame, c: ToxicityConfig) -> DataFrame:
-    """(shard, fold, toxic, lang, a, b) of each labelled document, shard by shard: all its words and prefixes as buckets."""
+    """(doc_id, toxic, lang, a, b) of each labelled document: all its words and prefixes as buckets."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    own = F.col("doc_id") == F.col("_id")
-    size = docs.select("doc_id", F.octet_length("text").alias("n")).join(marks, own).agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-int(size) // c.shard_bytes))
-    found = docs.select("doc_id", "lang", "text").join(marks, own).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(c.seed)), F.lit(shards)).cast("int"))
-    one = found.repartition(2 * shards, "shard").groupBy("shard", "doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("_row"))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(c.seed + 1)), F.lit(2)).cast("int")
-    texts = one.sortWithinPartitions("shard", "doc_id").select("shard", fold.alias("fold"), "toxic", "_row.lang", "_row.text")
+    # Labels grow with the documents: both are dealt by id, neither is broadcast.
+    found = docs.select("doc_id", "lang", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("_id"))
+    texts = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("_row")).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "_row.lang", "_row.text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for whole, prefix, first in word_features(batch.column(4), c):
+            for whole, prefix, first in word_features(batch.column(3), c):
                 whole, prefix = whole.astype(_ids(c)), prefix.astype(_ids(c))
                 for i, j in zip(first[:-1], first[1:], strict=True):
                     a.append(whole[i:j].tobytes())
                     b.append(prefix[i:j].tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["shard", "fold", "toxic", "lang", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "toxic", "lang", "a", "b"])
+
+    return texts.mapInArrow(lean(hashed), "doc_id long, toxic boolean, lang string, a binary, b binary")
 
-    return texts.mapInArrow(lean(hashed), "shard int, fold int, toxic boolean, lang string, a binary, b binary")
+
+def _dealt(rows: DataFrame, c: ToxicityConfig) -> DataFrame:
+    """(shard, fold, toxic, lang, a, b): the rows shard by shard."""
+    size = rows.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
+    shards = max(1, -(-int(size) // c.shard_bytes))
+    shard, fold = (F.pmod(F.xxhash64("doc_id", F.lit(c.seed + i)), F.lit(n)).cast("int") for i, n in ((0, shards), (1, 2)))
+    return rows.withColumn("shard", shard).repartition(2 * shards, "shard").sortWithinPartitions("shard", "doc_id").select("shard", fold.alias("fold"), "toxic", "lang", "a", "b")
 
 
 def _count(rows: DataFrame, c: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -398,7 +403,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None
     c = config or ToxicityConfig()
     ship_code(docs.sparkSession)
     with scratch(docs.sparkSession):
-        rows = materialise(_hashed_rows(docs, labels, c), "toxic_rows")
+        # Shuffles of ended jobs go as soon as possible: each is a part of the texts or of the model a shard.
+        hashed = materialise(_hashed_rows(docs, labels, c), "toxic_rows")
+        release(docs.sparkSession)
+        rows = materialise(_dealt(hashed, c), "toxic_shards")
         rows_with, sizes = _count(rows, c)
         # A model but the first learns from the other fold than it leaves out.
         own = [[0, 1], [1], [0]]
@@ -406,6 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None
         nets = [_start(*sizes[k].sum(0).tolist(), x, c, np.random.RandomState(c.seed)) for k, x in zip(own, learned, strict=True)]
         for turn in range(c.rounds if sizes[:, 0].any() else 0):
             _round(rows, nets, learned, turn, c)
+            release(docs.sparkSession)
         models = [_model(flat, c) for flat, _ in nets]
         models[0].thresholds.update(_thresholds(rows, models[1:]))
     return models[0]
