@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.storage import scratch
+from canopy.storage import scratch, trim
 from canopy.storage import store as materialise
 
 __all__ = ["WORD", "free_name", "free_names", "held_out", "lean", "materialise", "read_table", "scratch", "ship_code"]
@@ -39,23 +38,14 @@ def ship_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
-def release_memory() -> None:
-    """Gives what this process holds but doesn't use back to the system: Python workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass  # only glibc has it
-
-
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function whose worker keeps no free memory after it."""
+    """A mapInArrow function whose worker, which outlives the task, keeps no free memory after it."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            release_memory()
+            trim()
 
     return outer
 

@@ -148,10 +148,10 @@ def _describe(docs: DataFrame, c: JaccardConfig) -> DataFrame:
 
 def _frequent(counted: DataFrame, c: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts: at most ``frequent_known``."""
-    top = counted.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= c.frequent).orderBy(F.col("n").desc(), "id").limit(c.frequent_known).toPandas()
-    found = top["id"].to_numpy(np.int64).view(np.uint64)
+    top = counted.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= c.frequent).orderBy(F.col("n").desc(), "id").limit(c.frequent_known).toArrow()
+    found = top["id"].to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], top["n"].to_numpy(np.int64)[order]
+    return found[order], top["n"].to_numpy()[order]
 
 
 def _route(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], c: JaccardConfig) -> DataFrame:

@@ -97,8 +97,8 @@ def _document_frequencies(docs: DataFrame, c: LanguageConfig) -> np.ndarray:
 
     out = np.zeros(c.features + 1, np.int64)
     # At most one row a feature reaches the driver.
-    for row in docs.select("text").mapInArrow(lean(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[row["feature"]] = row["n"]
+    found = docs.select("text").mapInArrow(lean(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out[found["feature"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -157,16 +157,19 @@ def fit(docs: DataFrame, config: LanguageConfig | None = None) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     centroids, language, radius, known = [], [], [], []
+    # As Arrow: lists of boxed numbers would take several times the memory in both processes of the driver.
     # About 1.2 x sample_rows rows pass the thresholds; the limit bounds them for certain.
-    rows = sample.mapInArrow(lean(vectors), "lang string, _key long, at array<int>, n array<double>").orderBy("_key", "lang").limit(2 * c.sample_rows).toPandas()
+    rows = sample.mapInArrow(lean(vectors), "lang string, _key long, at array<int>, n array<double>").orderBy("_key", "lang").limit(2 * c.sample_rows).toArrow()
+    of = np.array(rows["lang"].to_pylist(), object)
     for lang in names:
-        own = rows[rows["lang"] == lang][:each]
-        if own.empty:
+        own = rows.take(np.flatnonzero(of == lang)[:each])
+        if not len(own):
             continue
         x = np.zeros((len(own), c.features), np.float32)
         for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
-            x[i, at] = n
-        x = np.log1p(x) * idf.astype(np.float32)
+            x[i, at.values.to_numpy()] = n.values.to_numpy()
+        np.log1p(x, out=x)
+        x *= idf.astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         x = x[np.lexsort(x[:, :64].T)]  # the rows' order doesn't matter then
         centres = _cluster(x, c.centroids, c.rounds, c.seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -68,20 +70,31 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         release(spark)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, now: bool = False) -> None:
     """Lets go what ended jobs hold: shuffle files, broadcasts and plans go when the driver collects their handles.
 
     By itself a driver with memory to spare may not collect for half an hour
     (spark.cleaner.periodicGC.interval), while executors keep every shuffle.
+    Within RELEASE_S of the last time it does nothing, unless ``now``.
     """
     global _released
-    if time.monotonic() - _released < RELEASE_S:
+    if not now and time.monotonic() - _released < RELEASE_S:
         return
     gc.collect()  # Python's handles of Java objects first
     spark.sparkContext._jvm.System.gc()
+    trim()
     _released = time.monotonic()
 
 
+def trim() -> None:
+    """Gives what this process holds but doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -96,4 +109,5 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._stored_at = path
+    release(df.sparkSession)  # a block may have many steps
     return out
