@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import words
@@ -50,6 +50,8 @@ class ToxicityConfig:
     #: Words and prefixes of fewer fitted rows aren't learned: their embeddings are 0.
     least_rows: int = 2
     seed: int = 5
+    #: Bits of the sieve that spares unlabelled documents the hashing, at most; with more labelled rows it lets more others through, which are dropped later.
+    sieve_bits: int = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -278,32 +280,59 @@ def _shards(batches: Iterator[pa.RecordBatch], c: ToxicityConfig) -> Iterator[tu
         yield now, np.array(fold), np.array(toxic, np.float32), docs
 
 
-def _hashed_rows(docs: DataFrame, labels: DataFrame, c: ToxicityConfig) -> DataFrame:
-    """(doc_id, toxic, lang, a, b) of each labelled document: all its words and prefixes as buckets."""
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    # Labels grow with the documents: both are dealt by id, neither is broadcast.
-    found = docs.select("doc_id", "lang", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("_id"))
-    texts = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("_row")).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "_row.lang", "_row.text")
+def _sieve(marks: DataFrame, c: ToxicityConfig) -> np.ndarray:
+    """A bit for each remainder of an id's hash that a labelled row has: it lets all labelled rows through, and few others.
+
+    It saves work only.  Up to ``sieve_bits``, there are 16 bits a row or more.
+    """
+    bits = 64
+    rows = marks.count()
+    while bits < min(16 * rows, c.sieve_bits):
+        bits *= 2
+    at = F.pmod(_sieve_key("_id", c), F.lit(bits))
+    # At most one row for every 64 bits reaches the driver.
+    found = marks.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["set"].to_numpy()
+    return out.view(np.uint8)  # the lowest bit of the first byte comes first
+
+
+def _sieve_key(name: str, c: ToxicityConfig) -> Column:
+    return F.xxhash64(F.col(name).cast("long"), F.lit(c.seed + 2))
+
+
+def _hashed_rows(docs: DataFrame, marks: DataFrame, c: ToxicityConfig) -> DataFrame:
+    """(doc_id, lang, a, b) of each document that the sieve lets through: all its words and prefixes as buckets.  No shuffle of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(marks, c))  # sieve_bits at most
+    read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _sieve_key("doc_id", c).alias("_key"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = shared.value
         for batch in batches:
+            at = batch.column(3).to_numpy() % (8 * len(sieve))
+            batch = batch.filter(pa.array(((sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
             a, b = [], []
-            for whole, prefix, first in word_features(batch.column(3), c):
+            for whole, prefix, first in word_features(batch.column(2), c):
                 whole, prefix = whole.astype(_ids(c)), prefix.astype(_ids(c))
                 for i, j in zip(first[:-1], first[1:], strict=True):
                     a.append(whole[i:j].tobytes())
                     b.append(prefix[i:j].tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "toxic", "lang", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "lang", "a", "b"])
 
-    return texts.mapInArrow(lean(hashed), "doc_id long, toxic boolean, lang string, a binary, b binary")
+    return read.mapInArrow(lean(hashed), "doc_id long, lang string, a binary, b binary")
 
 
-def _dealt(rows: DataFrame, c: ToxicityConfig) -> DataFrame:
-    """(shard, fold, toxic, lang, a, b): the rows shard by shard."""
-    size = rows.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
+def _dealt(hashed: DataFrame, marks: DataFrame, c: ToxicityConfig) -> DataFrame:
+    """(shard, fold, toxic, lang, a, b): the labelled rows shard by shard; of repeated ids one."""
+    size = hashed.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
     shards = max(1, -(-int(size) // c.shard_bytes))
     shard, fold = (F.pmod(F.xxhash64("doc_id", F.lit(c.seed + i)), F.lit(n)).cast("int") for i, n in ((0, shards), (1, 2)))
-    return rows.withColumn("shard", shard).repartition(2 * shards, "shard").sortWithinPartitions("shard", "doc_id").select("shard", fold.alias("fold"), "toxic", "lang", "a", "b")
+    # Rows and labels are dealt by shard and meet there, so the buckets are shuffled once.
+    both = hashed.select("doc_id", F.lit(None).cast("boolean").alias("toxic"), F.struct("a", "b", "lang").alias("_row"))
+    both = both.unionByName(marks.select(F.col("_id").cast("long").alias("doc_id"), "toxic", F.lit(None).cast(both.schema["_row"].dataType).alias("_row")))
+    met = both.withColumn("shard", shard).repartition(2 * shards, "shard").groupBy("shard", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("_row").alias("_row"))
+    met = met.filter(F.col("toxic").isNotNull() & F.col("_row").isNotNull())
+    return met.sortWithinPartitions("shard", "doc_id").select("shard", fold.alias("fold"), "toxic", "_row.lang", "_row.a", "_row.b")
 
 
 def _count(rows: DataFrame, c: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -403,10 +432,14 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None
     c = config or ToxicityConfig()
     ship_code(docs.sparkSession)
     with scratch(docs.sparkSession):
-        # Shuffles of ended jobs go as soon as possible: each is a part of the texts or of the model a shard.
-        hashed = materialise(_hashed_rows(docs, labels, c), "toxic_rows")
-        release(docs.sparkSession)
-        rows = materialise(_dealt(hashed, c), "toxic_shards")
+        marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("toxic"))
+        # Labels grow with the documents: they are dealt by id, not broadcast.
+        marks = materialise(marks, "toxic_marks")
+        # Stored tables and shuffles of ended jobs go as soon as possible: each is a part of the words or of the model a shard.
+        with scratch(docs.sparkSession) as own:
+            hashed = materialise(_hashed_rows(docs, marks, c), "toxic_rows")
+            rows = own.keep(materialise(_dealt(hashed, marks, c), "toxic_shards"))
+        release(docs.sparkSession, now=True)
         rows_with, sizes = _count(rows, c)
         # A model but the first learns from the other fold than it leaves out.
         own = [[0, 1], [1], [0]]
@@ -414,7 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None
         nets = [_start(*sizes[k].sum(0).tolist(), x, c, np.random.RandomState(c.seed)) for k, x in zip(own, learned, strict=True)]
         for turn in range(c.rounds if sizes[:, 0].any() else 0):
             _round(rows, nets, learned, turn, c)
-            release(docs.sparkSession)
+            release(docs.sparkSession, now=True)
         models = [_model(flat, c) for flat, _ in nets]
         models[0].thresholds.update(_thresholds(rows, models[1:]))
     return models[0]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from canopy import storage
 from canopy.llm import toxicity
 
 DOCS, MARKS = "doc_id long, text string, lang string", "doc_id long, toxic int"
@@ -72,3 +75,33 @@ def test_shards_do_not_depend_on_partitions(spark):
     c = toxicity.ToxicityConfig(steps=50, rounds=2, shard_bytes=1000)
     one, other = (toxicity.fit(spark.createDataFrame(rows, DOCS).repartition(n), marks, c) for n in (1, 5))
     assert np.array_equal(one.embedding, other.embedding) and one.thresholds == other.thresholds
+
+
+def test_fit_shuffles_no_text_and_only_labelled_words(spark, monkeypatch):
+    """Texts were shuffled to their labels, those without a label too; and what was hashed stayed on disk through the rounds."""
+    seen = []
+    dealt, one_round = toxicity._dealt, toxicity._round
+
+    def spy(hashed, marks, c):
+        seen.append((hashed.columns, hashed.count()))
+        return dealt(hashed, marks, c)
+
+    def spy_round(rows, *rest):
+        seen.append(sorted(p.name.split("-")[0] for p in Path(storage.shared_folder(spark).removeprefix("file:")).iterdir() if p.name.startswith("toxic_")))
+        return one_round(rows, *rest)
+
+    monkeypatch.setattr(toxicity, "_dealt", spy)
+    monkeypatch.setattr(toxicity, "_round", spy_round)
+    rows = [(i, f"some words w{i}", "en") for i in range(4000)]
+    toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(40 * i, i % 2) for i in range(100)], MARKS), toxicity.ToxicityConfig(steps=2, rounds=1))
+    (columns, n), folders = seen
+    assert "text" not in columns and 100 <= n < 1000
+    assert "toxic_shards" in folders and "toxic_rows" not in folders
+
+
+def test_a_full_sieve_changes_nothing(spark):
+    """Where every bit is set all documents pass, and those without a label are dropped when they meet the labels."""
+    rows = spark.createDataFrame([(i, f"w{chr(97 + i % 7)} {'trash' if i % 4 == 0 else 'fine'}", "en") for i in range(300)], DOCS)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 300, 2)], MARKS)
+    one, other = (toxicity.fit(rows, marks, toxicity.ToxicityConfig(steps=20, rounds=1, sieve_bits=bits)) for bits in (64, 1 << 27))
+    assert np.array_equal(one.embedding, other.embedding) and one.thresholds == other.thresholds
